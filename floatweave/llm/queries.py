@@ -26,8 +26,27 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import bpe_round_trip, digests
+
+    return digests(bpe_round_trip(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import new_path
+    from .token_files import read_tokens, write_tokens
+
+    path = new_path(spark, "token-files")
+    write_tokens(_table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=0)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_token_counts": op3_token_counts}
+    return {
+        "op1_token_files": op1_token_files,
+        "op3_token_counts": op3_token_counts,
+        "op5_bpe": op5_bpe,
+    }
 
 
 def oracles() -> dict[str, str]:
