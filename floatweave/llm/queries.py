@@ -41,11 +41,25 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def _fold(id_col: str, n: int):
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import language_id, train
+
+    docs = _table(spark, sf_dir, "documents")
+    filters = train(docs.filter(_fold("doc_id", 5) != 0))
+    found = language_id(docs, filters)
+    return found.withColumn("held_out", F.coalesce(_fold("doc_id", 5) == 0, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
         "op3_token_counts": op3_token_counts,
         "op5_bpe": op5_bpe,
+        "op9_language_id": op9_language_id,
     }
 
 
