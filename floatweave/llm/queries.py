@@ -52,6 +52,19 @@ def _fold(id_col: str, n: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity, train
+
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs, _table(spark, sf_dir, "labels").filter(_fold("doc_id", 3) != 1))
+    return toxicity(docs, model).select(
+        "doc_id",
+        F.coalesce(_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import language_id, train
 
@@ -67,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op4_simhash": op4_simhash,
         "op5_bpe": op5_bpe,
+        "op6_toxicity": op6_toxicity,
         "op9_language_id": op9_language_id,
     }
 
