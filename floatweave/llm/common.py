@@ -42,6 +42,16 @@ def stash_at(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame,
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def stash_bucketed(df: DataFrame, name: str, key: str, codec: str = "zstd") -> DataFrame:
+    """As ``stash``, dealt into as many buckets by ``key`` as a shuffle has
+    partitions: a join on ``key`` then moves the other side alone."""
+    spark = df.sparkSession
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", codec).option("path", new_path(spark, name)).bucketBy(n, key).saveAsTable(table)
+    return spark.table(table)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a stashed table through Hadoop's file system."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import stash_bucketed
 from .pretokens import BYTE_LEVEL, UNSAFE, load_tokenizer, special_strings
 
 _BLOCK = "block long, words array<string>, doc array<long>, n_bytes array<long>, whole array<long>, ptr array<long>, freq binary, size long"
@@ -52,7 +52,8 @@ def _frequencies(path: str, block_chars: int):
 
         def row():
             flat = np.concatenate([np.array(idx, np.int32), np.array(cnt, np.int32)])
-            cols = [[(part << 32) | made], [list(words)], [doc], [n_bytes], [whole], [ptr], [pa.compress(flat, codec="zstd", asbytes=True)], [flat.nbytes]]
+            flat = flat.view(np.uint8).reshape(-1, 4).T.copy()  # like bytes together, which compress better
+            cols = [[(part << 32) | made], [list(words)], [doc], [n_bytes], [whole], [ptr], [pa.compress(flat.ravel(), codec="zstd", asbytes=True)], [flat.nbytes]]
             kinds = [pa.int64(), pa.list_(pa.string()), *[pa.list_(pa.int64())] * 4, pa.binary(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
@@ -130,7 +131,8 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in range(batch.num_rows):
             get = {n: batch.column(k)[r] for k, n in enumerate(batch.schema.names)}
-            flat = np.frombuffer(pa.decompress(get["freq"].as_buffer(), decompressed_size=get["size"].as_py(), codec="zstd"), np.int32)
+            flat = np.frombuffer(pa.decompress(get["freq"].as_buffer(), decompressed_size=get["size"].as_py(), codec="zstd"), np.uint8)
+            flat = flat.reshape(4, -1).T.copy().view(np.int32).ravel()
             idx, cnt = flat[: len(flat) // 2], flat[len(flat) // 2 :]
             num = np.zeros(get["n_words"].as_py(), np.int64)
             for part in get["parts"].as_py() or []:
@@ -141,10 +143,10 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([get["doc"].values, get["n_bytes"].values, pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
 
-def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 16_000_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 32_000_000) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of each row of ``docs`` under the vocabulary file ``tokenizer``."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = stash(src.mapInArrow(_frequencies(tokenizer, block_chars), _BLOCK), "token-blocks")
+    blocks = stash_bucketed(src.mapInArrow(_frequencies(tokenizer, block_chars), _BLOCK), "token-blocks", "block")
     words = blocks.select("block", F.posexplode("words").alias("pos", "word")).select("word", "block", "pos")
     counted = words.repartition("word").sortWithinPartitions("word").mapInArrow(_pieces(tokenizer), "block long, pos binary, num binary")
     per_block = counted.groupBy("block").agg(F.collect_list(F.struct("pos", "num")).alias("parts"))
