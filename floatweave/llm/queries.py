@@ -65,6 +65,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import language_id, train
 
@@ -81,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op5_bpe": op5_bpe,
         "op6_toxicity": op6_toxicity,
+        "op8_decontaminate": op8_decontaminate,
         "op9_language_id": op9_language_id,
     }
 
