@@ -80,6 +80,28 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", F.coalesce(_fold("doc_id", 5) == 0, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import new_path
+    from .warc import read_warc, resolved, write_warc
+
+    path = new_path(spark, "archives")
+    write_warc(_table(spark, sf_dir, "pages"), path)
+    return resolved(read_warc(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS digest FROM pages
+), best AS (
+  SELECT digest, max(page_id) AS best FROM p WHERE octet_length(body) >= 1000 GROUP BY digest
+)
+SELECT p.page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+  CASE WHEN best IS NULL OR p.page_id IS NOT DISTINCT FROM best THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN best IS NULL OR p.page_id IS NOT DISTINCT FROM best THEN NULL ELSE best END AS refers_to
+FROM p LEFT JOIN best ON p.digest = best.digest
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
@@ -89,8 +111,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op8_decontaminate": op8_decontaminate,
         "op9_language_id": op9_language_id,
+        "op10_warc": op10_warc,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op10_warc": OP10_SQL}
