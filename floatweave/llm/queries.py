@@ -19,6 +19,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_spans, span_text
+
+    found = secret_spans(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    every = F.array_sort(F.concat("base", "added"))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(every).alias("spans"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -105,6 +114,7 @@ FROM p LEFT JOIN best ON p.digest = best.digest
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
+        "op2_secrets": op2_secrets,
         "op3_token_counts": op3_token_counts,
         "op4_simhash": op4_simhash,
         "op5_bpe": op5_bpe,
