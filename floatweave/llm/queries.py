@@ -74,6 +74,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import vector_links
+
+    return vector_links(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -119,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op5_bpe": op5_bpe,
         "op6_toxicity": op6_toxicity,
+        "op7_vectors": op7_vectors,
         "op8_decontaminate": op8_decontaminate,
         "op9_language_id": op9_language_id,
         "op10_warc": op10_warc,
