@@ -27,7 +27,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
 
 _EDGE = re.compile(r"^\W+|\W+$")
 _BASE, _MASK = 1_000_003, (1 << 61) - 1
@@ -157,46 +156,67 @@ class Benchmark:
         return out
 
 
-def _search(items: list[tuple[int, str]], min_words: int, coverage: float, limit: int = 400_000):
+class Finder:
+    """The leaks of a text, with a bounded memory of words' numbers."""
+
+    def __init__(self, items: list[tuple[int, str]], min_words: int, coverage: float, limit: int = 400_000):
+        self.bench, self.limit = Benchmark(items, min_words, coverage), limit
+        self.known: dict[str, int] = {}  # 0: not of the benchmark, -1: no word at all
+
+    def __call__(self, text: str | None) -> list[tuple[int, float, int, int]]:
+        words = (text or "").lower().split()
+        got = [self.known.get(w) for w in words]
+        if None in got:
+            if len(self.known) > self.limit:
+                self.known.clear()
+            for k, v in enumerate(got):
+                if v is None:
+                    w = normal(words[k])
+                    got[k] = self.known[words[k]] = self.bench.vocab.get(w, 0) if w else -1
+        ids = np.array(got, np.int64)
+        return self.bench.leaks(ids[ids >= 0])
+
+
+def _search(items: list[tuple[int, str]], min_words: int, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(items, min_words, coverage)
-        known: dict[str, int] = {}  # -1: no word at all
+        finder = Finder(items, min_words, coverage)
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
         for batch in batches:
             rows = []
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words = (t or "").lower().split()
-                    got = [known.get(w) for w in words]
-                    if None in got:
-                        if len(known) > limit:
-                            known.clear()
-                        for k, v in enumerate(got):
-                            if v is None:
-                                w = normal(words[k])
-                                got[k] = known[words[k]] = bench.vocab.get(w, 0) if w else -1
-                    ids = np.array(got, np.int64)
-                    rows += [(i, *leak) for leak in bench.leaks(ids[ids >= 0])]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                rows += [(i, *leak) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for leak in finder(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "item_id", "coverage", "n_tiles", "longest"])
 
     return run
 
 
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block_words: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about ``block_words`` words."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).dropna(subset=["text"])
+    n = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // (4 * block_words)) or 1
+    for b in range(n):
+        yield sorted((tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).toLocalIterator()), key=str)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_words: int = 5, coverage: float = 0.8, block_words: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles, longest) of each item that leaks into a document."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).dropna(subset=["text"])
-    n = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-n // (4 * block_words)) or 1
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, coverage double, n_tiles long, longest long"
-    parts = []
-    for b in range(blocks):
-        own = sorted(tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toLocalIterator())
-        parts.append(src.mapInArrow(_search(own, min_words, coverage), schema))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [src.mapInArrow(_search(own, min_words, coverage), schema) for own in _blocks(benchmark, item_col, item_text, block_words)])
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_words: int = 5, coverage: float = 0.8, block_words: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` into which no item leaks, with all their columns."""
+    at_text = docs.columns.index(text_col)
+    for own in _blocks(benchmark, item_col, item_text, block_words):
 
+        def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
+            finder = Finder(own, min_words, coverage)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 256):
+                    batch = whole.slice(at, 256)
+                    yield batch.filter(pa.array([not finder(t) for t in batch.column(at_text).to_pylist()], pa.bool_()))
 
-def leaking_ids(found: DataFrame) -> DataFrame:
-    """The distinct ids of ``contamination``'s documents, stashed."""
-    return stash(found.select("doc_id").distinct(), "leaking")
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

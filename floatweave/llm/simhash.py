@@ -238,3 +238,175 @@ def simhash_components(docs: DataFrame, width: int = 4, id_col: str = "doc_id",
     joined = stash(parts.join(least, "component").select("fp", "least"), "joined")
     named = stash(first.join(joined, "fp", "left").select("fp", F.least("least", "first").alias("component_id")), "named")
     return table.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+# --- documents of similar shingle sets -------------------------------------------------
+#
+# For sets of shingles with a Jaccard index of 0.8 some 15 % of SimHash bits differ, far
+# more than the pigeonhole above allows. So the bits are doubled (the second half from a
+# mix of the same hashes), each half is cut into three segments as before, and every key
+# of every segment is used on both sides: of six segments, one holds two errors or fewer,
+# or shares a codeword by luck, in 99 of 100 such pairs. What meets is compared over all
+# 128 bits, and what is near enough is verified by the exact Jaccard index.
+
+WIDE_LIMIT, SURE_LIMIT = 26, 6  # of 128 bits: candidates, and those that need no verification
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _wide_prints(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                prints = [(fingerprint(h), fingerprint(_mix(h)) if len(h) else 0) for h in (hashes(t, width) for t in batch.column(3).to_pylist())]
+                f = [pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *f], ["doc_id", "k1", "k2", "f0", "f1"])
+
+    return run
+
+
+def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, f0, f1) to (key, uid, f0, f1)."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2048):
+            uid, *halves = (whole.column(k).slice(at, 2048).to_numpy() for k in range(3))
+            rows, keys = [], []
+            for half, f in enumerate(halves):
+                for i, (start, n) in enumerate(_CUTS):
+                    code, count = golay.keys((f.view(np.uint64) >> np.uint64(start)).astype(np.int64) & ((1 << n) - 1))
+                    for k in range(6):
+                        on = np.flatnonzero(count > k)
+                        rows.append(on)
+                        keys.append((half * 3 + i) << 12 | code[on, k])
+            r = np.concatenate(rows)
+            cols = [np.concatenate(keys).astype(np.int64), uid[r], halves[0][r], halves[1][r]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "uid", "f0", "f1"])
+
+
+def _nearest_tree(f: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
+    """(a, b, distance) of a minimum spanning forest of the pairs within ``limit``; f: one row of two words each."""
+
+    def far(k, rows):
+        return np.bitwise_count(rows[:, 0] ^ f[k, 0]).astype(np.int64) + np.bitwise_count(rows[:, 1] ^ f[k, 1])
+
+    out = []
+    rest = np.arange(len(f))
+    while len(rest) > 1:
+        at, rest = rest[0], rest[1:]
+        best, via = far(at, f[rest]), np.full(len(rest), at)
+        while len(rest):
+            k = int(best.argmin())
+            if best[k] > limit:
+                break
+            at = rest[k]
+            out.append((int(via[k]), int(at), int(best[k])))
+            left = np.arange(len(rest)) != k
+            rest, best, via = rest[left], best[left], via[left]
+            d = far(at, f[rest])
+            nearer = d < best
+            best, via = np.where(nearer, d, best), np.where(nearer, at, via)
+    return out
+
+
+def _wide_links(limit: int, strip: int = 512):
+    """Sorted (key, uid, f0, f1) to (a, b, d): a spanning forest of each key's near pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+
+        def close():
+            uid = np.concatenate([h[0] for h in held])
+            f = np.stack([np.concatenate([h[k] for h in held]).view(np.uint64) for k in (1, 2)], 1)
+            held.clear()
+            near = np.zeros(len(uid), bool)
+            for at in range(0, len(uid), strip):
+                own = f[at : at + strip]
+                for to in range(at, len(uid), 8 * strip):  # a bounded part of the pairs at a time
+                    other = f[to : to + 8 * strip]
+                    d = np.bitwise_count(own[:, None, 0] ^ other[None, :, 0]) + np.bitwise_count(own[:, None, 1] ^ other[None, :, 1])
+                    x, y = np.nonzero(d <= limit)
+                    off = x + at != y + to
+                    near[x[off] + at] = near[y[off] + to] = True
+            some = np.flatnonzero(near)
+            edges = _nearest_tree(f[some], limit) if len(some) else []
+            cols = [[int(uid[some[e[0]]]) for e in edges], [int(uid[some[e[1]]]) for e in edges], [e[2] for e in edges]]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "d"])
+
+        for batch in batches:
+            key, uid, f0, f1 = (batch.column(k).to_numpy() for k in range(4))
+            cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if key[a] != now and held:
+                    yield close()
+                now = key[a]
+                held.append((uid[a:b], f0[a:b], f1[a:b]))
+        if held:
+            yield close()
+
+    return run
+
+
+def _same_sets(similarity: float):
+    """(a, b, x, y), texts' hash sets as bytes, to (a, b) of those with a Jaccard index of ``similarity``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for k in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint32) for c in (2, 3))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _hash_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                sets = [np.unique((hashes(t, width) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["uid", "hashes"])
+
+    return run
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each connected group of texts whose
+    shingle sets have a Jaccard index of at least ``similarity`` (0.8 or more), the row with
+    the smallest id stays (a null id is the smallest; then by a hash of the text). Of equal
+    rows one stays."""
+    if similarity < 0.8:
+        raise ValueError("the candidates are calibrated for 0.8 and more")
+    key = [F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)), F.xxhash64(F.lit(2), F.col(text_col), F.col(id_col))]
+    marked = docs.withColumns({"simhash_k1": key[0], "simhash_k2": key[1]})
+    src = marked.select(F.col(id_col).cast("long").alias("doc_id"), F.col("simhash_k1").alias("k1"), F.col("simhash_k2").alias("k2"), F.col(text_col).alias("text"))
+    prints = stash(src.mapInArrow(_wide_prints(width), "doc_id long, k1 long, k2 long, f0 long, f1 long"), "wide-prints")
+    groups = prints.groupBy("f0", "f1").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("rep"))
+    groups = stash(groups.withColumn("uid", F.monotonically_increasing_id()), "wide-groups")
+    keyed = groups.select("uid", "f0", "f1").mapInArrow(_wide_keys, "key long, uid long, f0 long, f1 long")
+    dealt = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_links(WIDE_LIMIT), "a long, b long, d long")
+    found = stash(dealt.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d").distinct(), "wide-links")
+    unsure = found.filter(F.col("d") > SURE_LIMIT)
+    asked = unsure.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    reps = stash(groups.join(asked, "uid").select("uid", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2")), "wide-asked")
+    texts = src.select("k1", "k2", "text").join(reps, ["k1", "k2"]).dropDuplicates(["uid"]).select("uid", "text")
+    sets = stash(texts.mapInArrow(_hash_sets(width), "uid long, hashes binary"), "wide-sets")
+    pairs = unsure.join(sets.select(F.col("uid").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("hashes").alias("y")), "b")
+    same = pairs.select("a", "b", "x", "y").mapInArrow(_same_sets(similarity), "a long, b long")
+    edges = stash(found.filter(F.col("d") <= SURE_LIMIT).select("a", "b").unionByName(same), "wide-edges")
+    parts = stash(connected_components(edges).withColumnRenamed("node", "uid"), "wide-parts")
+    best = stash(groups.join(parts, "uid").groupBy("component").agg(F.min("rep").alias("best")), "wide-best")
+    lost = parts.join(best, "component").join(groups, "uid").filter("rep <> best").select("uid")
+    kept = groups.join(lost, "uid", "left_anti").select(F.col("rep.k1").alias("simhash_k1"), F.col("rep.k2").alias("simhash_k2"))
+    keys = ["simhash_k1", "simhash_k2"]
+    return marked.join(stash(kept, "wide-kept"), keys, "left_semi").dropDuplicates(keys).drop(*keys)

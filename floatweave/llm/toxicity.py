@@ -247,3 +247,17 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return src.mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int>>")
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    at_text = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
+                yield batch.filter(pa.array(scorer.score(batch.column(at_text).to_pylist())[0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
