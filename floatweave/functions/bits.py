@@ -45,7 +45,7 @@ def leading_zeros(x: Column) -> Column:
 
 
 def trailing_zeros(x: Column) -> Column:
-    return F.when(x == 0, 64).otherwise(F.length(F.bin(x)) - F.length(F.rtrim(F.lit("0"), F.bin(x))))
+    return F.when(x == 0, 64).otherwise(F.length(F.bin(x)) - F.length(F.rtrim(F.bin(x), F.lit("0"))))
 
 
 def rotate_left_1(x: Column) -> Column:
