@@ -24,18 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import _SPACES, UNSAFE, WORD_LEVEL, load_tokenizer, special_strings
+from .pretokens import UNSAFE, WORD_LEVEL, byte_chars, load_tokenizer, special_strings
 
 _SHIFT = 20
 
 
-def _byte_chars() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = iter(range(0x100, 0x200))
-    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
-
-
 class WordBPE:
     """A byte-pair encoder whose words end in a marked symbol."""
 
@@ -53,7 +46,7 @@ class WordBPE:
         self.merges: dict[int, tuple[int, int]] = {}
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
             self.merges[self.vocab[a] << _SHIFT | self.vocab[b]] = rank, self.vocab[a + b]
-        chars = _byte_chars()
+        chars = byte_chars()
         self.symbol = [self.vocab[c] for c in chars]
         self.last = [self.vocab[c + self.end] for c in chars]
         self.byte_of = {c: b for b, c in enumerate(chars)}

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
 _RANGE = [chr(c) for c in range(0x250)]
@@ -29,8 +30,10 @@ BYTE_LEVEL = re.compile(
 #: Pre-tokens of the vocabulary with word ends: white space is dropped, digits stand alone.
 WORD_LEVEL = re.compile(f"{_CONTRACTIONS}|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
 
-#: A space beside more white space: then cutting at single spaces is not exact.
-_SPACE_RUN = re.compile(f" [{_SPACES}]|[{_SPACES}] ")
+
+def space_run(text: str) -> bool:
+    """Whether a space stands beside more white space: then cutting at single spaces is not exact."""
+    return any(c in text and (" " + c in text or c + " " in text) for c in _SPACES if c != " ") or "  " in text
 
 
 @lru_cache(maxsize=4)
@@ -47,63 +50,92 @@ def special_strings(tok) -> list[str]:
     return [t.content for t in tok.get_added_tokens_decoder().values()]
 
 
+def byte_chars() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
+class Cache:
+    """A table of two generations: what a full table holds is kept until the next one is
+    full, and what is asked for meanwhile moves on. At most 2 x ``size`` entries."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        if (v := self.new.get(key)) is None and (v := self.old.get(key)) is not None:
+            self.put(key, v)
+        return v
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class ByteLevelEncoder:
     """Ids of whole texts under a byte-level vocabulary file of the tokenizers library.
 
-    Distinct pre-tokens go to the library once and stay in a table of at most
-    ``max_entries``; a full table is emptied, which costs time and no results.
+    The library's model merges each pre-token that the bounded cache does not
+    hold; a chunk between single spaces is kept with the ids of its pre-tokens.
     """
 
-    def __init__(self, path: str, dtype: str, max_entries: int = 500_000):
-        self.tok, self.dtype, self.max_entries = load_tokenizer(path), dtype, max_entries
+    def __init__(self, path: str, dtype: str, cache_size: int = 500_000):
+        self.code = {"<u2": "H", "<u4": "I"}[dtype]  # little-endian machines, as Arrow's
+        self.tok = load_tokenizer(path)
         self.special = special_strings(self.tok)
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.chars = byte_chars()
+        self.cache = Cache(cache_size)
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Enter chunks (each stands for itself behind one space)."""
-        if len(self.chunks) > self.max_entries:
-            self.chunks.clear()
-        if len(self.pieces) > self.max_entries:
-            self.pieces.clear()
-        split = {c: BYTE_LEVEL.findall(" " + c) for c in chunks}
-        new = list({p for ps in split.values() for p in ps if p not in self.pieces})
-        for i in range(0, len(new), 4096):
-            self.pieces.update(zip(new[i : i + 4096], self._library(new[i : i + 4096])))
-        get = self.pieces.__getitem__
-        for c, ps in split.items():
-            self.chunks[c] = b"".join(map(get, ps))
+        return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _piece(self, key: str, piece: str) -> bytes:
+        if (ids := self.cache.get(key)) is None:
+            plain = piece[0] == " " and piece.isascii() and (rest := piece[1:]).isprintable() and " " not in rest
+            shown = "Ġ" + rest if plain else "".join([self.chars[b] for b in piece.encode()])
+            ids = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+            self.cache.put(key, ids)
+        return ids
+
+    def _learn(self, chunk: str) -> bytes:
+        """The ids of a chunk behind one space. Pre-tokens are kept under their text behind the
+        space, or under a mark of their own if they have none before them."""
+        if chunk.isalpha():
+            return self._piece(chunk, " " + chunk)
+        if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+            out = self._piece(chunk[:-1], " " + chunk[:-1]) + self._piece("\0" + chunk[-1], chunk[-1])
+        else:
+            out = b"".join([self._piece(p[1:] if p[0] == " " and len(p) > 1 else "\0" + p, p) for p in BYTE_LEVEL.findall(" " + chunk)])
+        self.cache.put(chunk, out)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian ``dtype`` bytes."""
-        out: list[bytes | None] = [None] * len(texts)
-        cut, hard, wanted = {}, [], set()
+        self.model = self.tok.model
+        out: list[bytes] = [b""] * len(texts)
+        hard, heads = [], {}
         for i, t in enumerate(texts):
             if not t:
-                out[i] = b""
-            elif UNSAFE.search(t) or t[0] in _SPACES or t[-1] in _SPACES or _SPACE_RUN.search(t) or any(s in t for s in self.special):
+                continue
+            if UNSAFE.search(t) or t[0] in _SPACES or t[-1] in _SPACES or space_run(t) or any(s in t for s in self.special):
                 hard.append(i)
-            else:
-                head, *rest = t.split(" ")
-                cut[i] = (head, rest)
-                wanted.update(rest)
-        wanted.difference_update(self.chunks)
-        if wanted:
-            if len(self.chunks) > self.max_entries:  # emptied: what these texts use is needed again
-                self.chunks.clear()
-                wanted = {c for _, rest in cut.values() for c in rest}
-            self._learn(wanted)
-        get = self.chunks.__getitem__
-        for i, (head, rest) in cut.items():
-            out[i] = b"".join(map(get, rest))
-        heads = self._library([cut[i][0] for i in cut]) if cut else []
-        for i, h in zip(cut, heads):
-            out[i] = h + out[i]
-        for i, h in zip(hard, self._library([texts[i] for i in hard]) if hard else []):
-            out[i] = h
+                continue
+            head, *rest = t.split(" ")
+            heads[i] = head
+            known = self.cache.new.get
+            got = [known(c) for c in rest]
+            if None in got:
+                again, learn = self.cache.get, self._learn
+                for k, v in enumerate(got):
+                    if v is None and (v := again(rest[k])) is None:
+                        v = learn(rest[k])
+                    got[k] = v
+            out[i] = b"".join(got)
+        for i, ids in zip(heads, self._library(list(heads.values())) if heads else []):
+            out[i] = ids + out[i]
+        for i, ids in zip(hard, self._library([texts[i] for i in hard]) if hard else []):
+            out[i] = ids
         return out
