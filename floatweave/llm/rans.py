@@ -6,8 +6,8 @@ every ``CHECK`` steps the coders' states and the place in the stream are kept,
 so a decoder can start there. A block depends on nothing but the table.
 
 Block: header, checkpoint offsets, checkpoint states, words. The header holds
-the number of symbols, steps, sections and words, the CRC-32 of the words and
-of the symbols as 32-bit integers.
+the number of symbols, steps, sections and words, the CRC-32 of what follows it
+and of the symbols as 32-bit integers.
 """
 
 from __future__ import annotations
@@ -93,9 +93,9 @@ def _encode(blocks: np.ndarray, table: Table) -> list[bytes]:
     for b in range(n_blocks):
         stream = words[b][emits[b]].astype("<u4")
         before = np.concatenate([[0], np.cumsum(emits[b].sum(1))])[np.arange(sections) * CHECK].astype("<u4")
-        body = stream.tobytes()
+        body = before.tobytes() + kept[b].astype("<u8").tobytes() + stream.tobytes()
         head = _HEAD.pack(b"RANB", n, steps, sections, len(stream), zlib.crc32(body), zlib.crc32(blocks[b].astype("<u4").tobytes()))
-        out.append(head + before.tobytes() + kept[b].astype("<u8").tobytes() + body)
+        out.append(head + body)
     return out
 
 
@@ -119,10 +119,10 @@ def _decode(blocks: list[bytes], heads: list[tuple], table: Table) -> list[np.nd
         at = _HEAD.size
         begin.append(np.frombuffer(raw, "<u4", sections, at).astype(np.int64) + base)
         states.append(np.frombuffer(raw, "<u8", sections * LANES, at + 4 * sections).reshape(sections, LANES))
-        body = raw[at + 4 * sections + 8 * sections * LANES :]
-        if zlib.crc32(body) != h[5] or len(body) != 4 * h[4]:
-            raise ValueError("the words of a block fail their checksum")
-        streams.append(np.frombuffer(body, "<u4"))
+        words = at + 4 * sections + 8 * sections * LANES
+        if len(raw) != words + 4 * h[4] or zlib.crc32(memoryview(raw)[at:]) != h[5]:
+            raise ValueError("a block fails its checksum")
+        streams.append(np.frombuffer(raw, "<u4", h[4], words))
         base += h[4]
     stream = np.concatenate([*streams, np.zeros(LANES, np.uint32)]).astype(np.uint64)
     at, state = np.concatenate(begin), np.concatenate(states).astype(np.uint64)
