@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def registry() -> dict:
-    from . import alp, general, grid, integers, planes, xor
+    from . import alp, general, grid, integers, planes, predict, xor
 
-    made = [planes.PlaneCodec("f8"), planes.PlaneCodec("f4"), xor.Gorilla(), xor.Chimp(), xor.Patas(), xor.Elf(), alp.Alp(), alp.AlpRd(), grid.GridCodec("f8"), grid.GridCodec("f4"), integers.Cascaded(), *general.codecs()]
+    made = [planes.PlaneCodec("f8"), planes.PlaneCodec("f4"), xor.Gorilla(), xor.Chimp(), xor.Patas(), xor.Elf(), xor.ElfStar(), alp.Alp(), alp.AlpRd(), grid.GridCodec("f8"), grid.GridCodec("f4"), integers.Cascaded(), predict.Fpc(), predict.Gfc(), predict.Mpc(), *general.codecs()]
     return {c.name: c for c in made}
 
 

@@ -331,3 +331,139 @@ class _ElfXor:
             self.tz = 64 - ROUNDED[self.code] - size
         self.last ^= src.get(64 - ROUNDED[self.code] - self.tz) << self.tz
         return self.last
+
+
+def offices(counts: list[int], most_bits: int = 5) -> list[int]:
+    """Positions to which 64 numbers are rounded down, 0 first: those that cost least in all, counted
+    in bits: the bits of a position's name for every number, and the bits that rounding loses."""
+    used = [k for k, n in enumerate(counts) if n or not k]
+    total = sum(counts)
+    best: tuple[int, list[int]] | None = None
+    for bits in range(most_bits + 1):
+        wanted = min(1 << bits, len(used))
+        # cost[i]: the least for numbers below used[i], which is the last position so far
+        loss = lambda a, b: sum(counts[k] * (k - used[a]) for k in range(used[a], used[b] if b < len(used) else len(counts)))
+        cost, back = {0: 0}, [{0: -1}]
+        for _ in range(1, wanted):
+            new, via = {}, {}
+            for i in range(1, len(used)):
+                options = [(c + loss(a, i), a) for a, c in cost.items() if a < i]
+                if options:
+                    new[i], via[i] = min(options)
+            cost = new
+            back.append(via)
+        least, last = min((c + loss(i, len(used)), i) for i, c in cost.items())
+        if best is None or least + total * bits < best[0]:
+            chosen = []
+            for via in reversed(back):
+                chosen.append(used[last])
+                last = via[last]
+            best = least + total * bits, chosen[::-1]
+        if wanted == len(used):
+            break
+    return best[1]
+
+
+class ElfStar(Elf):
+    """The erasing codec in two passes: the numbers of leading and trailing zeros that occur decide
+    to which positions they are rounded, and the tables stand before the values."""
+
+    name = "elf_star"
+
+    def encode(self, values) -> bytes:
+        if np.isnan(values).any():
+            raise ValueError("this codec takes no NaN; filter it first")
+        erased = []
+        for v, x in zip(np.asarray(values, np.float64).tolist(), _bits(values)):
+            kept, digits = x, None
+            if v and math.isfinite(v):
+                places, found = significant(abs(v))
+                erase = 52 - (math.ceil(places * math.log2(10)) + (x >> 52 & 0x7FF) - 1023)
+                mask = _M << erase & _M if 4 < erase <= 52 else _M
+                if mask != _M and x & ~mask & _M and found <= 15 and elf_restore(x & mask, found) == x:
+                    kept, digits = x & mask, found
+            erased.append((kept, digits))
+        leads, trails, last = [0] * 64, [0] * 64, None
+        for kept, _ in erased:
+            if last is not None and (d := kept ^ last):
+                leads[lead(d)] += 1
+                trails[trail(d)] += 1
+            last = kept
+        out, tables = Writer(), (offices(leads), offices(trails))
+        out.put(len(erased), 32)
+        for table in tables:
+            out.put(len(table), 6)
+            for p in table:
+                out.put(p, 6)
+        xor, last_digits = _StarXor(out, tables), None
+        for kept, digits in erased:
+            if digits is None:
+                out.put(2, 2)
+            elif digits == last_digits:
+                out.put(0, 1)
+            else:
+                out.put(0x30 | digits, 6)
+                last_digits = digits
+            xor.put(kept)
+        return out.done()
+
+    def decode(self, data: bytes, n: int | None = None) -> np.ndarray:
+        src, digits, out = Reader(data), None, []
+        n = src.get(32)
+        tables = tuple([src.get(6) for _ in range(src.get(6))] for _ in range(2))
+        xor = _StarXor(src, tables)
+        for _ in range(n):
+            erased = True
+            if src.get(1):
+                if src.get(1):
+                    digits = src.get(4)
+                else:
+                    erased = False
+            x = xor.get()
+            out.append(elf_restore(x, digits) if erased else x)
+        return _floats(out)
+
+
+class _StarXor:
+    """01 for equal, 1 for the window before, 00 and the names of a new window's two positions."""
+
+    def __init__(self, io, tables):
+        self.io, self.tables, self.last, self.window = io, tables, None, None
+        self.bits = [(len(t) - 1).bit_length() for t in tables]
+
+    def _round(self, which: int, z: int) -> int:
+        return max(k for k, p in enumerate(self.tables[which]) if p <= z)
+
+    def put(self, x: int) -> None:
+        out = self.io
+        if self.last is None:
+            out.put(x, 64)
+        elif not (d := x ^ self.last):
+            out.put(1, 2)
+        else:
+            a, b = self._round(0, lead(d)), self._round(1, trail(d))
+            fits = self.window is not None and lead(d) >= self.tables[0][self.window[0]] and trail(d) >= self.tables[1][self.window[1]]
+            same = fits and sum(self.tables[k][self.window[k]] for k in (0, 1)) + sum(self.bits) + 1 >= self.tables[0][a] + self.tables[1][b]
+            if same:
+                out.put(1, 1)
+            else:
+                self.window = a, b
+                out.put(0, 2)
+                out.put(a, self.bits[0])
+                out.put(b, self.bits[1])
+            tz = self.tables[1][self.window[1]]
+            out.put(d >> tz, 64 - self.tables[0][self.window[0]] - tz)
+        self.last = x
+
+    def get(self) -> int:
+        src = self.io
+        if self.last is None:
+            self.last = src.get(64)
+            return self.last
+        if not src.get(1):
+            if src.get(1):
+                return self.last
+            self.window = src.get(self.bits[0]), src.get(self.bits[1])
+        tz = self.tables[1][self.window[1]]
+        self.last ^= src.get(64 - self.tables[0][self.window[0]] - tz) << tz
+        return self.last

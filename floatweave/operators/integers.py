@@ -66,6 +66,21 @@ def grid_sizes(values: DataFrame, cube: int = 4096) -> DataFrame:
     return sized.filter(F.col("n") == cube).select("series_id", "cube_id", F.col("bytes").cast("long"))
 
 
+def sub_chunk_sizes(values: DataFrame, block: int = 16384) -> DataFrame:
+    """(series_id, block_id, bytes) of the sub-chunk codec in one dimension, for blocks of whole
+    sub-chunks: half a byte a value and the bytes of its difference to the sub-chunk before."""
+    own = in_blocks(values.withColumn("x", bits.double_bits(F.col("value"))), block)
+    own = own.withColumn("s", F.floor(F.col("pos") / 32))
+    last = own.filter((F.col("pos") % 32 == 31) & ((F.col("pos") + 1) % block != 0)).select("series_id", (F.col("s") + 1).alias("s"), F.col("x").alias("before"))
+    own = own.join(last, ["series_id", "s"], "left")
+    d = bits.wrapping_subtract(F.col("x"), F.coalesce("before", F.lit(0).cast("long")))
+    own = own.withColumn("d", d).withColumn("size", F.when(F.col("d") == -(2**63), F.col("d")).otherwise(F.abs(F.when(F.col("d") == -(2**63), 0).otherwise(F.col("d")))))
+    used = F.when(F.col("size") == 0, 0).otherwise(F.ceil(bits.bit_width(F.col("size")) / 8))
+    own = own.withColumn("used", F.when(used == 2, 3).otherwise(used))
+    sized = own.groupBy("series_id", "block_id").agg(F.count("*").alias("n"), F.sum("used").alias("used"))
+    return sized.filter(F.col("n") % 32 == 0).select("series_id", "block_id", (F.col("used") + F.col("n") / 2).cast("long").alias("bytes"))
+
+
 def xor_histogram(values: DataFrame) -> DataFrame:
     """(series_id, lead, trail, n): leading and trailing zeros of each value XORed with the one before."""
     x = bits.double_bits(F.col("value"))

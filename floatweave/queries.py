@@ -172,7 +172,7 @@ def _round_trip(codec: str, name: str) -> Query:
     return run
 
 
-for _codec, _name in (("planes", "l_extendedprice"), ("gorilla", "events_value"), ("chimp128", "events_value"), ("patas", "events_value"), ("elf", "c_acctbal"), ("alp", "l_extendedprice"), ("alp_rd", "o_totalprice"), ("grid", "o_totalprice"), ("cascaded", "l_quantity"), ("lz4", "l_tax"), ("snappy", "l_tax"), ("gzip", "l_tax"), ("zstd", "l_tax")):
+for _codec, _name in (("planes", "l_extendedprice"), ("gorilla", "events_value"), ("chimp128", "events_value"), ("patas", "events_value"), ("elf", "c_acctbal"), ("elf_star", "c_acctbal"), ("fpc", "events_value"), ("gfc", "o_totalprice"), ("mpc", "l_quantity"), ("alp", "l_extendedprice"), ("alp_rd", "o_totalprice"), ("grid", "o_totalprice"), ("cascaded", "l_quantity"), ("lz4", "l_tax"), ("snappy", "l_tax"), ("gzip", "l_tax"), ("zstd", "l_tax")):
     register(f"roundtrip_{_codec}", base_sql(_name, "CAST({c} AS DOUBLE)"))(_round_trip(_codec, _name))
 
 
@@ -247,6 +247,11 @@ def cascaded_run_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("block_id", "n_runs", width(F.col("ls")).alias("length_bits"), width(F.col("xs")).alias("value_bits"))
 
 
+@register("gfc_sizes", f"WITH base AS ({base_sql('l_extendedprice', 'CAST(CAST({c} AS BIT) AS BIGINT)')}), r AS (SELECT b.pos, CAST(b.v AS HUGEINT) - coalesce(l.v, 0) AS d FROM base b LEFT JOIN base l ON l.pos = b.pos // 32 * 32 - 1 AND b.pos % 16384 >= 32), w AS (SELECT pos, CASE WHEN d > 9223372036854775807 THEN d - 18446744073709551616::HUGEINT WHEN d < -9223372036854775808::HUGEINT THEN d + 18446744073709551616::HUGEINT ELSE d END AS d FROM r), s AS (SELECT pos // 16384 AS block_id, CASE WHEN d = 0 THEN 0 ELSE (length(ltrim(bin(CAST(abs(d) AS UBIGINT)), '0')) + 7) // 8 END AS u FROM w) SELECT block_id, CAST(sum(CASE WHEN u = 2 THEN 3 ELSE u END) + count(*) / 2 AS BIGINT) AS bytes FROM s GROUP BY 1 HAVING count(*) % 32 = 0")
+def gfc_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integers.sub_chunk_sizes(load_series(spark, sf_dir, "l_extendedprice")).drop("series_id")
+
+
 # turned left by one: -2^63..: the top bit becomes the lowest
 GRID = f"""WITH base AS ({base_sql('l_extendedprice', 'CAST(CAST({c} AS BIT) AS BIGINT)')}),
 r AS (SELECT pos, pos // 4096 AS cube_id, CAST(v & 4611686018427387903 AS HUGEINT) * 2 + CASE WHEN v < 0 THEN 1 ELSE 0 END + CASE WHEN (v & 4611686018427387904) <> 0 THEN -9223372036854775808::HUGEINT ELSE 0 END AS x FROM base),

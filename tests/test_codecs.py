@@ -6,7 +6,8 @@ import pytest
 from floatweave.codecs import registry
 from floatweave.codecs.grid import GridCodec
 from floatweave.codecs.planes import CHUNK, FORMS, PlaneCodec, decimal_places
-from floatweave.codecs.xor import significant
+from floatweave.codecs.predict import Fpc, Gfc, Mpc
+from floatweave.codecs.xor import offices, significant
 
 CODECS = registry()
 
@@ -32,7 +33,7 @@ def blocks():
 @pytest.mark.parametrize("block", [b[0] for b in blocks()])
 def test_round_trip(name, block):
     codec, values = CODECS[name], dict(blocks())[block]
-    if name in ("gorilla", "chimp128", "elf"):
+    if name in ("gorilla", "chimp128", "elf", "elf_star"):
         values = values[~np.isnan(values)]
     if codec.dtype == "f4":
         with np.errstate(over="ignore"):
@@ -57,6 +58,24 @@ def test_grid_dimensions(dims):
     assert np.array_equal(codec.decode(codec.encode(values)), values)
 
 
+@pytest.mark.parametrize("codec", [Gfc(3), Mpc(2), Mpc(5), Fpc(4)])
+def test_dimensions(codec):
+    values = np.round(np.random.default_rng(1).normal(size=3001), 3)
+    assert np.array_equal(codec.decode(codec.encode(values)), values)
+
+
+def test_offices_cost_least():
+    from itertools import combinations
+
+    counts = [0] * 64
+    for k, n in ((3, 5), (9, 2), (17, 40), (30, 1), (52, 7), (53, 9)):
+        counts[k] = n
+    cost = lambda ps: sum(n * (k - max(p for p in ps if p <= k)) for k, n in enumerate(counts))
+    least = min(cost((0, *ps)) + sum(counts) * (len(ps)).bit_length() for m in (0, 1, 3) for ps in combinations([k for k, n in enumerate(counts) if n], m))
+    found = offices(counts)
+    assert cost(found) + sum(counts) * (len(found) - 1).bit_length() <= least
+
+
 def test_decimal_places():
     places, sp = decimal_places(np.array([0.0, 1.0, 1.5, 0.01, 123.456, 1 / 3, np.inf, -0.0]), FORMS["f8"])
     assert places.tolist()[:5] == [0, 0, 1, 2, 3]

@@ -52,3 +52,16 @@ def test_one_exchange_serves_a_chunk_query(spark):
 def test_scans_are_pruned(spark):
     plan = queries()["all_columns_equal"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_discount:double,l_tax:double>" in plan
+
+
+def test_sizes_are_those_of_the_codecs(spark):
+    from pyspark.sql import functions as F
+
+    from floatweave.operators.compress import compress
+    from floatweave.operators.integers import grid_sizes, sub_chunk_sizes
+
+    values = load_series(spark, SF, "l_extendedprice").filter("pos < 4096")
+    made = compress(values, "gfc").select(F.octet_length("payload") - 4).first()[0]
+    assert sub_chunk_sizes(values).first()["bytes"] == made
+    made = compress(values, "grid", block=4096).select(F.octet_length("payload") - 4).first()[0]
+    assert grid_sizes(values).first()["bytes"] == made
