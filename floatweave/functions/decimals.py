@@ -33,23 +33,31 @@ def decimal_places(v: Column) -> Column:
     when all 16 digits are used; the result must then divide back to v. Zero has
     none; a negative zero, NaN and infinities are not decimal.
     """
+    return checked_places(v, tried_places(v))
+
+
+def tried_places(v: Column) -> Column:
+    """The places at which the search for ``v`` stops, null if it does not; still to be checked."""
     sp = start_position(v)
-    out = F.lit(NOT_DECIMAL)
-    for d in range(16, -1, -1):
+    out = F.when(v == 0, F.lit(0))
+    for d in range(17):
         p = F.lit(float(f"1e{d}"))
         t = v * p
-        near = F.abs(t - nearest_even(t)) < F.abs(v) * F.lit(ULP) * p
-        exact = F.when(half_away(t) / p == v, F.lit(d)).otherwise(F.lit(NOT_DECIMAL))
-        out = F.when(near | (sp >= MAX_DIGITS - d), exact).otherwise(out)
-    special = F.isnan(v) | (F.abs(v) == float("inf")) | ((v == 0) & (F.signum(F.lit(1.0)) * F.atan2(v, F.lit(-1.0)) < 0))
-    return F.when(special, F.lit(NOT_DECIMAL)).when(v == 0, F.lit(0)).otherwise(out)
+        out = out.when((F.abs(t - nearest_even(t)) < F.abs(v) * F.lit(ULP * float(f"1e{d}"))) | (sp >= MAX_DIGITS - d), F.lit(d))
+    return out
+
+
+def checked_places(v: Column, tried: Column) -> Column:
+    """``tried`` where it divides back to ``v``, else NOT_DECIMAL."""
+    p = power_of_ten(tried)
+    special = F.isnan(v) | (F.abs(v) == float("inf")) | ((v == 0) & (F.atan2(v, F.lit(-1.0)) < 0))
+    return F.when(special, F.lit(NOT_DECIMAL)).otherwise(F.when(half_away(v * p) / p == v, tried).otherwise(F.lit(NOT_DECIMAL)))
 
 
 def half_away(x: Column) -> Column:
     """Rounded to an integer, halves away from zero."""
-    whole = F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")
-    big = F.abs(x) >= F.lit(4503599627370496.0)  # 2^52: no fraction is left
-    return F.when(big, x).otherwise(whole + F.when(F.abs(x - whole) >= 0.5, F.signum(x)).otherwise(F.lit(0.0)))
+    r = F.rint(x)
+    return r + F.when((F.abs(x - r) == 0.5) & (F.signum(x - r) == F.signum(x)), F.signum(x)).otherwise(F.lit(0.0))
 
 
 def brute_decimal_places(v: Column) -> Column:

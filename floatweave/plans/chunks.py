@@ -29,9 +29,12 @@ def quantized(values: DataFrame, alpha_mode: str = "exact", per_value_beta: bool
     alpha_mode ``brute`` takes the simple search for decimal places. A chunk whose
     digits don't fit 15 places is raw: ``q`` are then the value's bits, sign last.
     """
-    places = decimals.decimal_places if alpha_mode == "exact" else decimals.brute_decimal_places
     v = F.col("value")
-    own = chunked(values).withColumn("a", places(v)).withColumn("sp", decimals.start_position(v))
+    own = chunked(values).withColumn("sp", decimals.start_position(v))
+    if alpha_mode == "exact":  # in two steps, so that the search is evaluated once
+        own = own.withColumn("tried", decimals.tried_places(v)).withColumn("a", decimals.checked_places(v, F.col("tried"))).drop("tried")
+    else:
+        own = own.withColumn("a", decimals.brute_decimal_places(v))
     w = Window.partitionBy(*KEY)
     sp = F.coalesce(F.max("sp").over(w), F.lit(-99))
     own = own.withColumn("alpha", F.max("a").over(w))

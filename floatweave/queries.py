@@ -146,8 +146,8 @@ def plane_sparsity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("decimal_places_histogram", f"SELECT CAST({places_sql('(value / 3)')} AS BIGINT) AS places, count(*) AS n FROM events GROUP BY 1")
 def decimal_places_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = load(spark, sf_dir, "events").withColumn("v", F.col("value") / 3)
-    return longs(v.groupBy(decimals.decimal_places(F.col("v")).alias("places")).agg(F.count("*").alias("n")))
+    v = load(spark, sf_dir, "events").select((F.col("value") / 3).alias("v")).withColumn("tried", decimals.tried_places(F.col("v")))
+    return longs(v.groupBy(decimals.checked_places(F.col("v"), F.col("tried")).alias("places")).agg(F.count("*").alias("n")))
 
 
 @register("delta_zigzag", f"WITH base AS ({base_sql('o_totalprice', 'CAST(round({c} * 100) AS BIGINT)')}), d AS (SELECT pos, pos // 1025 AS block_id, v, v - lag(v) OVER (PARTITION BY pos // 1025 ORDER BY pos) AS s FROM base) SELECT block_id, pos, CASE WHEN s IS NULL THEN v END AS first, CASE WHEN s >= 0 THEN 2 * s ELSE -2 * s - 1 END AS zz FROM d")
