@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,7 @@ def calibrate(cosine: float, recall: float = 0.995, half_width: float = 0.75) ->
         least -= 1
 
 
+@lru_cache(maxsize=16)
 def _directions(dim: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng([SEED, dim])
     cells = rng.standard_normal((dim, tables * PER_TABLE))
@@ -103,12 +105,31 @@ def _deal(tables: int, with_vectors: bool):
     return run
 
 
+def _collisions(value: np.ndarray, half_width: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(first query, collisions of each query of a strip with each vector), strip by strip.
+
+    Each line is sorted once; a query's window is a range of ranks. In a group so small that
+    sorting does not pay, the same windows are taken from the differences.
+    """
+    n = len(value)
+    if n <= 64:
+        yield 0, (np.abs(value[:, None, :] - value[None, :, :]) <= half_width).sum(2)
+        return
+    order = np.argsort(value, axis=0)
+    rank, ranked = np.argsort(order, axis=0), np.take_along_axis(value, order, axis=0)
+    for at in range(0, n, 256):  # strips bound the counts kept
+        own = value[at : at + 256]
+        count = np.zeros((len(own), n), np.uint8)
+        for j in range(value.shape[1]):
+            lo, hi = np.searchsorted(ranked[:, j], own[:, j] - half_width, "left"), np.searchsorted(ranked[:, j], own[:, j] + half_width, "right")
+            count += (rank[:, j] >= lo[:, None]) & (rank[:, j] < hi[:, None])
+        yield at, count
+
+
 def _group_links(t: int, tiles: tuple[int, int], uid: np.ndarray, n: np.ndarray, tile_of: np.ndarray, rows: np.ndarray, cosine: float, tables: int, least: int, half_width: float):
     """(links of each vector, edges of a spanning forest) within one cell or pair of tiles."""
     unit = _unit(rows.astype(np.float64))
-    keys = _cells(unit, tables)
-    value = unit @ _directions(rows.shape[1], tables)[2]
-    links, parent, edges = np.zeros(len(uid), np.int64), np.arange(len(uid)), []
+    links, parent, edges, keys = np.zeros(len(uid), np.int64), np.arange(len(uid)), [], None
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -116,25 +137,18 @@ def _group_links(t: int, tiles: tuple[int, int], uid: np.ndarray, n: np.ndarray,
             x = parent[x]
         return x
 
-    orders = np.argsort(value, axis=0)
-    for at in range(0, len(uid), 256):  # queries in strips, which bounds the counts kept
-        own = slice(at, at + 256)
-        count = np.zeros((len(value[own]), len(uid)), np.uint8)
-        for j in range(LINES):
-            order = orders[:, j]
-            ranked, v = value[order, j], value[own, j]
-            lo, hi = np.searchsorted(ranked, v - half_width, "left"), np.searchsorted(ranked, v + half_width, "right")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            count += (rank >= lo[:, None]) & (rank < hi[:, None])
+    for at, count in _collisions(unit @ _directions(rows.shape[1], tables)[2], half_width):
         x, y = np.nonzero(count >= least)
-        x += at
+        x = x + at
         ok = uid[x] < uid[y]
         if tiles[0] != tiles[1]:
             ok &= tile_of[x] != tile_of[y]
         x, y = x[ok], y[ok]
         ok = np.einsum("ij,ij->i", unit[x], unit[y]) >= cosine
         x, y = x[ok], y[ok]
+        if not len(x):
+            continue
+        keys = _cells(unit, tables) if keys is None else keys
         first = (keys[x] == keys[y]).argmax(1) == t  # counted in the first table where the two meet
         x, y = x[first], y[first]
         np.add.at(links, x, n[y])
