@@ -116,6 +116,38 @@ def _summary(p: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(n)), np.log1p(total), np.sqrt(total / np.maximum(n, 1)), top], 1)
 
 
+def _toxic_words(texts: list[str], toxic: list[int], ids: list[np.ndarray], feats: list[list[str]], n1: int, min_share: float, min_odds: float) -> np.ndarray:
+    """Which words have a feature that is far more frequent in toxic documents; copies of a text count once."""
+    yes, no, seen = Counter(), Counter(), set()
+    for wanted in (1, 0):  # only features that toxic documents have often enough are counted in the others
+        for t, own, y in zip(texts, ids, toxic):
+            if y == wanted and (key := zlib.crc32(t.encode())) not in seen:
+                seen.add(key)
+                found = {f for w in np.unique(own).tolist() for f in feats[w]}
+                (yes if y else no).update(found if y else found & yes.keys())
+        if wanted:
+            yes = Counter({f: a for f, a in yes.items() if a >= max(5, min_share * n1)})
+    n0 = len(toxic) - n1
+    odds = {f: math.log((a + 0.5) / (n1 + 1)) - math.log((no[f] + 0.5) / (n0 + 1)) for f, a in yes.items()}
+    return np.array([any(odds.get(f, 0.0) >= min_odds for f in fs) for fs in feats], bool)
+
+
+def _shards(ids: list[np.ndarray], marked: np.ndarray, toxic: np.ndarray, words: int = 150_000) -> Iterator[tuple]:
+    """(words, whether each is a text's first, whether it is toxic, words of each text) of runs of texts: training holds one run's arrays at a time."""
+    at = 0
+    while at < len(ids):
+        to, n = at, 0
+        while to < len(ids) and (n < words or to == at):
+            n += len(ids[to])
+            to += 1
+        size = np.array([len(x) for x in ids[at:to]])
+        flat = np.concatenate(ids[at:to])
+        first = np.zeros(len(flat), bool)
+        first[np.concatenate([[0], np.cumsum(size)])[:-1][size > 0]] = True
+        yield flat, first, (marked[flat] & np.repeat(toxic[at:to], size)).astype(np.int8), size
+        at = to
+
+
 def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, epochs: int = 25, min_share: float = 0.015, min_odds: float = 3.0) -> Model:
     """A model from texts and their labels."""
     model = Model()
@@ -123,50 +155,47 @@ def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, epochs: i
     if not n1 or n1 == len(toxic):
         return model
     place: dict[str, int] = {}
-    ids = [np.array([place.setdefault(w, len(place)) for w in t.lower().split()], np.int64) for t in texts]
-    words = list(place)
-    feats = [features(w) for w in words]
-    yes, no, seen = Counter(), Counter(), set()
-    for t, own, y in zip(texts, ids, toxic):
-        if (key := zlib.crc32(t.encode())) in seen:  # copies say nothing new of a word
-            continue
-        seen.add(key)
-        (yes if y else no).update({f for w in np.unique(own).tolist() for f in feats[w]})
-    n0 = len(toxic) - n1
-    odds = {f: math.log((a + 0.5) / (n1 + 1)) - math.log((no[f] + 0.5) / (n0 + 1)) for f, a in yes.items() if a >= max(5, min_share * n1)}
-    marked = np.array([any(odds.get(f, 0.0) >= min_odds for f in fs) for fs in feats], bool)
-    flat = np.concatenate([*ids, np.empty(0, np.int64)])
-    size = np.array([len(x) for x in ids])
-    starts = np.concatenate([[0], np.cumsum(size)])
-    first = np.zeros(len(flat), bool)
-    first[starts[:-1][size > 0]] = True
-    y = marked[flat] & np.repeat(np.array(toxic, bool), size)
+    ids = [np.array([place.setdefault(w, len(place)) for w in t.lower().split()], np.int32) for t in texts]
+    feats = [features(w) for w in place]
+    marked = _toxic_words(texts, toxic, ids, feats, n1, min_share, min_odds)
     slot = np.array([_slot(f) for fs in feats for f in fs], np.int64)
-    owner = np.repeat(np.arange(len(words)), [len(fs) for fs in feats])
+    owner = np.repeat(np.arange(len(feats), dtype=np.int32), [len(fs) for fs in feats])
+    del place, feats
+    shards = list(_shards(ids, marked, np.array(toxic, bool)))
     params = [model.weights, np.zeros(1), model.trans, np.zeros(1)]
     params[1][0] = -4.0
     past = [np.full_like(p, 1e-2) for p in params]
-    prev = np.concatenate([[False], y[:-1]])
-    inner = np.flatnonzero(~first)
+    n_words = len(marked)
+
+    def emissions() -> np.ndarray:
+        return np.clip(np.bincount(owner, params[0][slot], n_words) + params[1][0], -30, 30)
+
     for _ in range(epochs):
-        word = np.bincount(owner, params[0][slot], len(words)) + params[1][0]
-        emit = np.clip(word[flat], -30, 30)
-        p, alpha, beta = marginals(emit, first, params[2], params[3][0])
-        miss = y - p
-        by_word = np.bincount(flat, miss, len(words))
-        grads = [np.bincount(slot, by_word[owner], len(params[0])) - 0.02 * params[0], np.array([miss.sum()]), None, np.array([miss[first].sum()])]
-        before = alpha[inner - 1]
-        pair = np.exp(params[2])[None] * np.stack([np.ones_like(before), before], 1)[:, :, None] * np.stack([np.ones_like(before), np.exp(emit[inner]) * beta[inner]], 1)[:, None, :]
-        pair /= pair.sum((1, 2), keepdims=True)
-        have = np.bincount(2 * prev[inner] + y[inner], minlength=4).reshape(2, 2)
-        grads[2] = have - pair.sum(0) - 0.02 * params[2]
+        word, by_word = emissions(), np.zeros(n_words)
+        grads = [None, np.zeros(1), -0.02 * params[2], np.zeros(1)]
+        for flat, first, y, _ in shards:
+            emit = word[flat]
+            p, alpha, beta = marginals(emit, first, params[2], params[3][0])
+            miss = y - p
+            by_word += np.bincount(flat, miss, n_words)
+            inner = np.flatnonzero(~first)
+            before, after = alpha[inner - 1], np.exp(emit[inner]) * beta[inner]
+            # the four joint marginals of neighbours
+            (t00, t01), (t10, t11) = np.exp(params[2])
+            parts = [t00 * np.ones_like(before), t01 * after, t10 * before, t11 * before * after]
+            total = sum(parts)
+            have = np.bincount(2 * y[inner - 1] + y[inner], minlength=4)
+            grads[2] += (have - np.array([(q / total).sum() for q in parts])).reshape(2, 2)
+            grads[1] += miss.sum()
+            grads[3] += miss[first].sum()
+        grads[0] = np.bincount(slot, by_word[owner], len(params[0])) - 0.02 * params[0]
         for v, g, h in zip(params, grads, past):
             h += g * g
             v += 0.5 * g / np.sqrt(h)
     model.bias, model.start = float(params[1][0]), float(params[3][0])
-    word = np.clip(np.bincount(owner, params[0][slot], len(words)) + params[1][0], -30, 30)
-    p, _, _ = marginals(word[flat], first, model.trans, model.start)
-    X, t = _summary(p, starts, size), np.array(toxic, float)
+    word = emissions()
+    X = np.concatenate([_summary(marginals(word[flat], first, model.trans, model.start)[0], np.concatenate([[0], np.cumsum(size)]), size) for flat, first, _, size in shards])
+    t = np.array(toxic, float)
     w, weigh = np.zeros(X.shape[1]), np.where(t > 0, 1.0, clean_weight)
     for _ in range(50):  # Newton steps of a ridge logistic regression
         z = 1 / (1 + np.exp(-np.clip(X @ w, -30, 30)))
