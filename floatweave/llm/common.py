@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -56,3 +57,10 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete a stashed table through Hadoop's file system."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, so that Spark deletes the shuffle files of steps
+    whose results are stashed; else they stay on the executors' disks until it happens to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

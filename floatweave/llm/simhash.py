@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import stash
+from .common import discard, settle, stash, stash_at
 from .components import connected_components
 
 BITS, LIMIT = 64, 4
@@ -400,10 +400,14 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col
     asked = unsure.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
     reps = stash(groups.join(asked, "uid").select("uid", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2")), "wide-asked")
     texts = src.select("k1", "k2", "text").join(reps, ["k1", "k2"]).dropDuplicates(["uid"]).select("uid", "text")
-    sets = stash(texts.mapInArrow(_hash_sets(width), "uid long, hashes binary"), "wide-sets")
+    sets, sets_path = stash_at(texts.mapInArrow(_hash_sets(width), "uid long, hashes binary"), "wide-sets")
     pairs = unsure.join(sets.select(F.col("uid").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("hashes").alias("y")), "b")
     same = pairs.select("a", "b", "x", "y").mapInArrow(_same_sets(similarity), "a long, b long")
     edges = stash(found.filter(F.col("d") <= SURE_LIMIT).select("a", "b").unionByName(same), "wide-edges")
+    # the sets and the moved texts have served
+    del texts, sets, pairs, same, dealt, keyed
+    discard(docs.sparkSession, sets_path)
+    settle(docs.sparkSession)
     parts = stash(connected_components(edges).withColumnRenamed("node", "uid"), "wide-parts")
     best = stash(groups.join(parts, "uid").groupBy("component").agg(F.min("rep").alias("best")), "wide-best")
     lost = parts.join(best, "component").join(groups, "uid").filter("rep <> best").select("uid")
