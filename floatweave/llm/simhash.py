@@ -247,7 +247,8 @@ def simhash_components(docs: DataFrame, width: int = 4, id_col: str = "doc_id",
 # mix of the same hashes), each half is cut into three segments as before, and every key
 # of every segment is used on both sides: of six segments, one holds two errors or fewer,
 # or shares a codeword by luck, in 99 of 100 such pairs. What meets is compared over all
-# 128 bits, and what is near enough is verified by the exact Jaccard index.
+# 128 bits, and what is near enough is verified by the exact Jaccard index: first a spanning
+# forest of each key, then, where edges of it failed, every pair between the pieces.
 
 WIDE_LIMIT, SURE_LIMIT = 26, 6  # of 128 bits: candidates, and those that need no verification
 
@@ -288,8 +289,8 @@ def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "uid", "f0", "f1"])
 
 
-def _nearest_tree(f: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
-    """(a, b, distance) of a minimum spanning forest of the pairs within ``limit``; f: one row of two words each."""
+def _nearest_tree(f: np.ndarray, limit: int) -> list[tuple[int, int, int, int]]:
+    """(a, b, distance, first of the tree) of a minimum spanning forest of the pairs within ``limit``; f: one row of two words each."""
 
     def far(k, rows):
         return np.bitwise_count(rows[:, 0] ^ f[k, 0]).astype(np.int64) + np.bitwise_count(rows[:, 1] ^ f[k, 1])
@@ -298,13 +299,14 @@ def _nearest_tree(f: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
     rest = np.arange(len(f))
     while len(rest) > 1:
         at, rest = rest[0], rest[1:]
+        first = int(at)
         best, via = far(at, f[rest]), np.full(len(rest), at)
         while len(rest):
             k = int(best.argmin())
             if best[k] > limit:
                 break
             at = rest[k]
-            out.append((int(via[k]), int(at), int(best[k])))
+            out.append((int(via[k]), int(at), int(best[k]), first))
             left = np.arange(len(rest)) != k
             rest, best, via = rest[left], best[left], via[left]
             d = far(at, f[rest])
@@ -314,9 +316,12 @@ def _nearest_tree(f: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
 
 
 def _wide_links(limit: int, strip: int = 512):
-    """Sorted (key, uid, f0, f1) to (a, b, d): a spanning forest of each key's near pairs."""
+    """Sorted (key, uid, f0, f1) to (cluster, a, b, d): a spanning forest of each key's near pairs.
+    cluster stands for the members of a tree, and is null where they are two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         held: list[tuple] = []
         now = None
 
@@ -324,6 +329,8 @@ def _wide_links(limit: int, strip: int = 512):
             uid = np.concatenate([h[0] for h in held])
             f = np.stack([np.concatenate([h[k] for h in held]).view(np.uint64) for k in (1, 2)], 1)
             held.clear()
+            order = np.argsort(uid)  # equal members make equal trees
+            uid, f = uid[order], f[order]
             near = np.zeros(len(uid), bool)
             for at in range(0, len(uid), strip):
                 own = f[at : at + strip]
@@ -335,8 +342,12 @@ def _wide_links(limit: int, strip: int = 512):
                     near[x[off] + at] = near[y[off] + to] = True
             some = np.flatnonzero(near)
             edges = _nearest_tree(f[some], limit) if len(some) else []
-            cols = [[int(uid[some[e[0]]]) for e in edges], [int(uid[some[e[1]]]) for e in edges], [e[2] for e in edges]]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "d"])
+            trees: dict[int, list[int]] = {}
+            for e in edges:
+                trees.setdefault(e[3], [e[3]]).append(e[1])
+            name = {t: int(np.array(xxhash.xxh64_intdigest(np.sort(uid[some[m]]).tobytes()), np.uint64).view(np.int64)) if len(m) > 2 else None for t, m in trees.items()}
+            cols = [[name[e[3]] for e in edges], [int(uid[some[e[0]]]) for e in edges], [int(uid[some[e[1]]]) for e in edges], [e[2] for e in edges]]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["cluster", "a", "b", "d"])
 
         for batch in batches:
             key, uid, f0, f1 = (batch.column(k).to_numpy() for k in range(4))
@@ -380,6 +391,91 @@ def _hash_sets(width: int):
     return run
 
 
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each key (first column) of sorted rows."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        key = batch.column(0).to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]]).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if key[a] != now and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = key[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _words_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The parts and the prints (two words each) of rows with part, f0 and f1."""
+    return rows["part"].to_numpy(), np.stack([rows[c].to_numpy().view(np.uint64) for c in ("f0", "f1")], 1)
+
+
+def _apart(limit: int):
+    """Sorted (key, uid, part, f0, f1) to those rows that have one of another part within ``limit``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_key(batches):
+            part, f = _words_of(rows)
+            if (part == part[0]).all():
+                continue
+            near = [bool((((np.bitwise_count(f[:, 0] ^ f[k, 0]) + np.bitwise_count(f[:, 1] ^ f[k, 1])) <= limit) & (part != part[k])).any()) for k in range(len(f))]
+            yield from rows.filter(pa.array(near)).to_batches()
+
+    return run
+
+
+def _joined(limit: int, similarity: float):
+    """Sorted (key, uid, part, f0, f1, hashes) to edges (a, b) that join parts: every two rows
+    within ``limit`` and of different parts are verified, or joined by others that were."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_key(batches):
+            part, f = _words_of(rows)
+            part, uid = part.copy(), rows["uid"].to_numpy()
+            sets = [np.frombuffer(h.as_buffer(), np.uint32) for h in rows["hashes"]]
+            size = np.array([len(x) for x in sets])
+            edges = []
+            for k, x in enumerate(sets):
+                to = np.flatnonzero((np.bitwise_count(f[k + 1 :, 0] ^ f[k, 0]) + np.bitwise_count(f[k + 1 :, 1] ^ f[k, 1]) <= limit) & (part[k + 1 :] != part[k])) + k + 1
+                for at in range(0, len(to), 256):
+                    own = to[at : at + 256]
+                    flat, ends = np.concatenate([sets[j] for j in own]), np.concatenate([[0], np.cumsum(size[own])])
+                    hits = np.concatenate([[0], np.cumsum(np.isin(flat, x))])
+                    both = hits[ends[1:]] - hits[ends[:-1]]
+                    for j in own[both >= similarity * (len(x) + size[own] - both)]:
+                        if part[j] != part[k]:
+                            edges.append((int(uid[k]), int(uid[j])))
+                            part[part == part[j]] = part[k]
+            yield pa.RecordBatch.from_arrays([pa.array([e[c] for e in edges], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _edges_between(links: DataFrame, groups: DataFrame, parts: DataFrame, sets: DataFrame, similarity: float, tile: int = 1024) -> DataFrame:
+    """Edges between ``parts``, the components of the verified edges of ``links``.
+
+    A tree that lost an edge to the verification may have other pairs within the limit between
+    the pieces. Of each such cluster the members that have one are gathered with their sets;
+    those of over ``tile`` members are dealt into tiles, and every two tiles meet."""
+    ends = links.filter("cluster is not null")
+    for c in ("a", "b"):
+        ends = ends.join(parts.select(F.col("uid").alias(c), F.col("component").alias(f"{c}_part")), c, "left")
+    cut = stash(ends.filter("coalesce(a_part, a) <> coalesce(b_part, b)").select("cluster").distinct(), "wide-cut")
+    members = stash(links.join(cut, "cluster").select("cluster", F.explode(F.array("a", "b")).alias("uid")).distinct(), "wide-members")
+    tiles = members.groupBy("cluster").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    dealt = members.join(tiles, "cluster").join(groups.select("uid", "f0", "f1"), "uid").join(parts, "uid", "left")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "uid", F.coalesce("component", "uid").alias("part"), "f0", "f1")
+    schema = "key long, uid long, part long, f0 long, f1 long"
+    near = stash(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_apart(WIDE_LIMIT), schema), "wide-apart")
+    return near.join(sets, "uid").select("key", "uid", "part", "f0", "f1", "hashes").repartition("key").sortWithinPartitions("key").mapInArrow(_joined(WIDE_LIMIT, similarity), "a long, b long")
+
+
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each connected group of texts whose
     shingle sets have a Jaccard index of at least ``similarity`` (0.8 or more), the row with
@@ -394,21 +490,28 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col
     groups = prints.groupBy("f0", "f1").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("rep"))
     groups = stash(groups.withColumn("uid", F.monotonically_increasing_id()), "wide-groups")
     keyed = groups.select("uid", "f0", "f1").mapInArrow(_wide_keys, "key long, uid long, f0 long, f1 long")
-    dealt = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_links(WIDE_LIMIT), "a long, b long, d long")
-    found = stash(dealt.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d").distinct(), "wide-links")
+    dealt = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_links(WIDE_LIMIT), "cluster long, a long, b long, d long")
+    links = stash(dealt.select("cluster", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d").distinct(), "wide-links")
+    found = links.select("a", "b", "d").distinct()
     unsure = found.filter(F.col("d") > SURE_LIMIT)
-    asked = unsure.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    asked = found.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
     reps = stash(groups.join(asked, "uid").select("uid", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2")), "wide-asked")
     texts = src.select("k1", "k2", "text").join(reps, ["k1", "k2"]).dropDuplicates(["uid"]).select("uid", "text")
     sets, sets_path = stash_at(texts.mapInArrow(_hash_sets(width), "uid long, hashes binary"), "wide-sets")
     pairs = unsure.join(sets.select(F.col("uid").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("hashes").alias("y")), "b")
     same = pairs.select("a", "b", "x", "y").mapInArrow(_same_sets(similarity), "a long, b long")
     edges = stash(found.filter(F.col("d") <= SURE_LIMIT).select("a", "b").unionByName(same), "wide-edges")
-    # the sets and the moved texts have served
-    del texts, sets, pairs, same, dealt, keyed
-    discard(docs.sparkSession, sets_path)
+    # the moved texts have served
+    del texts, pairs, same, dealt, keyed
     settle(docs.sparkSession)
     parts = stash(connected_components(edges).withColumnRenamed("node", "uid"), "wide-parts")
+    more = stash(_edges_between(links, groups, parts, sets, similarity), "wide-more")
+    del sets
+    discard(docs.sparkSession, sets_path)
+    if not more.isEmpty():
+        edges = parts.select(F.col("uid").alias("a"), F.col("component").alias("b")).unionByName(more)
+        parts = stash(connected_components(edges).withColumnRenamed("node", "uid"), "wide-joined")
+    settle(docs.sparkSession)
     best = stash(groups.join(parts, "uid").groupBy("component").agg(F.min("rep").alias("best")), "wide-best")
     lost = parts.join(best, "component").join(groups, "uid").filter("rep <> best").select("uid")
     kept = groups.join(lost, "uid", "left_anti").select(F.col("rep.k1").alias("simhash_k1"), F.col("rep.k2").alias("simhash_k2"))

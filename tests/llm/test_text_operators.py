@@ -223,6 +223,32 @@ def test_one_of_each(spark):
     assert got == want
 
 
+def shingles(text):
+    words = text.split()
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+
+def edited(rng, words, n):
+    own = list(words)
+    for k in rng.sample(range(len(own)), n):
+        own[k] = f"v{rng.randrange(10**9)}"
+    return own
+
+
+def kept_of_each(spark, texts):
+    return {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
+def test_one_of_each_star(spark):
+    """A base and 100 variants of J 0.82 to 0.88 to it, many farther than 0.8 from each other: the base joins all that met it."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(50000)}" for _ in range(450)]
+    texts = [" ".join(base)] + [" ".join(edited(rng, base, rng.randrange(6, 9))) for _ in range(100)]
+    own = shingles(texts[0])
+    assert all(0.81 <= len(own & s) / len(own | s) < 0.89 for s in map(shingles, texts[1:]))
+    assert len(kept_of_each(spark, texts)) <= 3  # at 0.82 few pairs share no key
+
+
 # --- decontamination, toxicity, language, secrets ------------------------------------------
 
 
