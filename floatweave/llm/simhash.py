@@ -247,10 +247,10 @@ def simhash_components(docs: DataFrame, width: int = 4, id_col: str = "doc_id",
 # mix of the same hashes), each half is cut into three segments as before, and every key
 # of every segment is used on both sides: of six segments, one holds two errors or fewer,
 # or shares a codeword by luck, in 99 of 100 such pairs. What meets is compared over all
-# 128 bits, and what is near enough is verified by the exact Jaccard index: first a spanning
+# 128 bits, and whatever is near enough is verified by the exact Jaccard index: first a spanning
 # forest of each key, then, where edges of it failed, every pair between the pieces.
 
-WIDE_LIMIT, SURE_LIMIT = 26, 6  # of 128 bits: candidates, and those that need no verification
+WIDE_LIMIT = 26  # of 128 bits
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -260,13 +260,21 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def _wide_prints(width: int):
+    """(doc_id, k1, k2, text) to (doc_id, k1, k2, f0, f1, s0, s1): the print's halves, and those of the shingle set's digest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                prints = [(fingerprint(h), fingerprint(_mix(h)) if len(h) else 0) for h in (hashes(t, width) for t in batch.column(3).to_pylist())]
-                f = [pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *f], ["doc_id", "k1", "k2", "f0", "f1"])
+                prints = []
+                for t in batch.column(3).to_pylist():
+                    h = hashes(t, width)
+                    digest = np.frombuffer(xxhash.xxh128_digest(np.unique(h).tobytes()), np.int64)
+                    prints.append((fingerprint(h), fingerprint(_mix(h)) if len(h) else 0, *digest.tolist()))
+                f = [pa.array([p[k] for p in prints], pa.int64()) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *f], ["doc_id", "k1", "k2", "f0", "f1", "s0", "s1"])
 
     return run
 
@@ -289,8 +297,8 @@ def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "uid", "f0", "f1"])
 
 
-def _nearest_tree(f: np.ndarray, limit: int) -> list[tuple[int, int, int, int]]:
-    """(a, b, distance, first of the tree) of a minimum spanning forest of the pairs within ``limit``; f: one row of two words each."""
+def _nearest_tree(f: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
+    """(a, b, first of the tree) of a minimum spanning forest of the pairs within ``limit``; f: one row of two words each."""
 
     def far(k, rows):
         return np.bitwise_count(rows[:, 0] ^ f[k, 0]).astype(np.int64) + np.bitwise_count(rows[:, 1] ^ f[k, 1])
@@ -306,7 +314,7 @@ def _nearest_tree(f: np.ndarray, limit: int) -> list[tuple[int, int, int, int]]:
             if best[k] > limit:
                 break
             at = rest[k]
-            out.append((int(via[k]), int(at), int(best[k]), first))
+            out.append((int(via[k]), int(at), first))
             left = np.arange(len(rest)) != k
             rest, best, via = rest[left], best[left], via[left]
             d = far(at, f[rest])
@@ -316,7 +324,7 @@ def _nearest_tree(f: np.ndarray, limit: int) -> list[tuple[int, int, int, int]]:
 
 
 def _wide_links(limit: int, strip: int = 512):
-    """Sorted (key, uid, f0, f1) to (cluster, a, b, d): a spanning forest of each key's near pairs.
+    """Sorted (key, uid, f0, f1) to (cluster, a, b): a spanning forest of each key's near pairs.
     cluster stands for the members of a tree, and is null where they are two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,10 +352,10 @@ def _wide_links(limit: int, strip: int = 512):
             edges = _nearest_tree(f[some], limit) if len(some) else []
             trees: dict[int, list[int]] = {}
             for e in edges:
-                trees.setdefault(e[3], [e[3]]).append(e[1])
+                trees.setdefault(e[2], [e[2]]).append(e[1])
             name = {t: int(np.array(xxhash.xxh64_intdigest(np.sort(uid[some[m]]).tobytes()), np.uint64).view(np.int64)) if len(m) > 2 else None for t, m in trees.items()}
-            cols = [[name[e[3]] for e in edges], [int(uid[some[e[0]]]) for e in edges], [int(uid[some[e[1]]]) for e in edges], [e[2] for e in edges]]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["cluster", "a", "b", "d"])
+            cols = [[name[e[2]] for e in edges], [int(uid[some[e[0]]]) for e in edges], [int(uid[some[e[1]]]) for e in edges]]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["cluster", "a", "b"])
 
         for batch in batches:
             key, uid, f0, f1 = (batch.column(k).to_numpy() for k in range(4))
@@ -486,21 +494,22 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col
     key = [F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)), F.xxhash64(F.lit(2), F.col(text_col), F.col(id_col))]
     marked = docs.withColumns({"simhash_k1": key[0], "simhash_k2": key[1]})
     src = marked.select(F.col(id_col).cast("long").alias("doc_id"), F.col("simhash_k1").alias("k1"), F.col("simhash_k2").alias("k2"), F.col(text_col).alias("text"))
-    prints = stash(src.mapInArrow(_wide_prints(width), "doc_id long, k1 long, k2 long, f0 long, f1 long"), "wide-prints")
-    groups = prints.groupBy("f0", "f1").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("rep"))
+    prints = stash(src.mapInArrow(_wide_prints(width), "doc_id long, k1 long, k2 long, f0 long, f1 long, s0 long, s1 long"), "wide-prints")
+    # equal sets of shingles make one group
+    groups = prints.groupBy("s0", "s1").agg(F.min(F.struct("doc_id", "k1", "k2", "f0", "f1")).alias("rep"))
+    groups = groups.select(F.struct("rep.doc_id", "rep.k1", "rep.k2").alias("rep"), "rep.f0", "rep.f1")
     groups = stash(groups.withColumn("uid", F.monotonically_increasing_id()), "wide-groups")
     keyed = groups.select("uid", "f0", "f1").mapInArrow(_wide_keys, "key long, uid long, f0 long, f1 long")
-    dealt = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_links(WIDE_LIMIT), "cluster long, a long, b long, d long")
-    links = stash(dealt.select("cluster", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d").distinct(), "wide-links")
-    found = links.select("a", "b", "d").distinct()
-    unsure = found.filter(F.col("d") > SURE_LIMIT)
+    dealt = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_links(WIDE_LIMIT), "cluster long, a long, b long")
+    links = stash(dealt.select("cluster", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "wide-links")
+    found = links.select("a", "b").distinct()
     asked = found.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
     reps = stash(groups.join(asked, "uid").select("uid", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2")), "wide-asked")
     texts = src.select("k1", "k2", "text").join(reps, ["k1", "k2"]).dropDuplicates(["uid"]).select("uid", "text")
     sets, sets_path = stash_at(texts.mapInArrow(_hash_sets(width), "uid long, hashes binary"), "wide-sets")
-    pairs = unsure.join(sets.select(F.col("uid").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("hashes").alias("y")), "b")
+    pairs = found.join(sets.select(F.col("uid").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("hashes").alias("y")), "b")
     same = pairs.select("a", "b", "x", "y").mapInArrow(_same_sets(similarity), "a long, b long")
-    edges = stash(found.filter(F.col("d") <= SURE_LIMIT).select("a", "b").unionByName(same), "wide-edges")
+    edges = stash(same, "wide-edges")
     # the moved texts have served
     del texts, pairs, same, dealt, keyed
     settle(docs.sparkSession)

@@ -249,6 +249,16 @@ def test_one_of_each_star(spark):
     assert len(kept_of_each(spark, texts)) <= 3  # at 0.82 few pairs share no key
 
 
+def test_one_of_each_boilerplate(spark):
+    """Documents of few words of their own and one line many times over are no copies."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(10):
+        line = " ".join(f"w{rng.randrange(50000)}" for _ in range(11))
+        texts += [" ".join([*(f"w{rng.randrange(50000)}" for _ in range(60)), *[line] * 120]) for _ in range(4)]
+    assert kept_of_each(spark, texts) == set(range(40))
+
+
 # --- decontamination, toxicity, language, secrets ------------------------------------------
 
 
