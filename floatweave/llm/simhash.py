@@ -270,8 +270,8 @@ def _wide_prints(width: int):
                 batch = whole.slice(at, 256)
                 prints = []
                 for t in batch.column(3).to_pylist():
-                    h = hashes(t, width)
-                    digest = np.frombuffer(xxhash.xxh128_digest(np.unique(h).tobytes()), np.int64)
+                    h = np.unique(hashes(t, width))  # similarity is that of sets, so a repeated shingle votes once
+                    digest = np.frombuffer(xxhash.xxh128_digest(h.tobytes()), np.int64)
                     prints.append((fingerprint(h), fingerprint(_mix(h)) if len(h) else 0, *digest.tolist()))
                 f = [pa.array([p[k] for p in prints], pa.int64()) for k in range(4)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], *f], ["doc_id", "k1", "k2", "f0", "f1", "s0", "s1"])

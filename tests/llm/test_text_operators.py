@@ -259,6 +259,16 @@ def test_one_of_each_boilerplate(spark):
     assert kept_of_each(spark, texts) == set(range(40))
 
 
+def test_one_of_each_repeated_lines(spark):
+    """How often a line is repeated hardly changes the set of shingles."""
+    rng = random.Random(13)
+    texts = []
+    for _ in range(20):
+        body, line = (" ".join(f"w{rng.randrange(50000)}" for _ in range(n)) for n in (400, 10))
+        texts += [f"{body} {line}", body + f" {line}" * 60]
+    assert kept_of_each(spark, texts) == set(range(0, 40, 2))
+
+
 # --- decontamination, toxicity, language, secrets ------------------------------------------
 
 
