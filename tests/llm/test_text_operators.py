@@ -269,6 +269,26 @@ def test_one_of_each_repeated_lines(spark):
     assert kept_of_each(spark, texts) == set(range(0, 40, 2))
 
 
+def test_one_of_each_far_prints(spark):
+    """Pairs of J 0.8 and more whose prints differ in over 26 bits."""
+    rng = random.Random(14)
+    texts = []
+    for _ in range(600):
+        base = [f"w{rng.randrange(50000)}" for _ in range(450)]
+        pair = [" ".join(base), " ".join(edited(rng, base, 10))]
+        a, b = map(shingles, pair)
+        if len(a & b) < 0.8 * len(a | b):
+            continue
+        far = 0
+        for mix in (lambda h: h, simhash._mix):
+            x, y = (simhash.fingerprint(mix(np.unique(simhash.hashes(t, 5)))) for t in pair)
+            far += ((x ^ y) & (2**64 - 1)).bit_count()
+        if far > 26:
+            texts += pair
+    assert len(texts) >= 10
+    assert len(kept_of_each(spark, texts)) <= len(texts) // 2 + 3  # few share no key
+
+
 # --- decontamination, toxicity, language, secrets ------------------------------------------
 
 
