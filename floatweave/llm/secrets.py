@@ -3,14 +3,17 @@
 Everything here is a DataFrame expression. The base kinds are regular
 expressions; positions follow from the lengths of the pieces between matches.
 
-The battery looks at runs of token characters of ``min_length`` and more. The
-alphabet tells the encoding (hex, base32, base36, base62 or base64); words
+The battery looks at runs of token characters of ``min_length`` and more, and at
+their pieces between separators (a key in a path, say): what it finds is joined
+where it overlaps. The alphabet tells the encoding (hex, base32, base36, each in
+one case, base62 or base64); words
 without a second character class have none and are left alone. Three tests are
 made on the symbols' numbers: chi-squared uniformity over the alphabet, runs
 above and below the alphabet's middle, and lag-one serial correlation. A token
 that fails any of them at ``alpha`` is not random. For one that passes, its
 chi-squared value is compared with the one ordinary text of that length would
-have (index of coincidence ``TEXT_IC``), which gives the probability that such
+have (index of coincidence ``TEXT_IC``, or ``HEX_IC`` of the letters a to f
+alone), which gives the probability that such
 text looks so uniform; longer tokens get far smaller values. In each band of
 length a Benjamini-Hochberg threshold over all tokens of the corpus, from
 counts in bins, keeps the share of false discoveries at ``fdr``.
@@ -33,10 +36,13 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 
 TEXT_IC, TEXT_SKEW = 0.065, 0.0012  # of letters in ordinary text: sum of squared shares; sum of cubes less its square
+HEX_IC, HEX_SKEW = 0.26, 0.0174  # the same of the letters a to f among themselves
 ALPHABETS = {
     "hex": "0123456789abcdef",
+    "hex_upper": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "base36_upper": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
@@ -69,8 +75,10 @@ def _tests(tokens: DataFrame) -> DataFrame:
     mixed = t.rlike("[0-9]") & t.rlike("[A-Za-z]")
     encoding = (
         F.when(t.rlike("^[0-9a-f]+$") & mixed, "hex")
+        .when(t.rlike("^[0-9A-F]+$") & mixed, "hex_upper")
         .when(t.rlike("^[A-Z2-7]+$") & mixed, "base32")
         .when(t.rlike("^[0-9a-z]+$") & mixed, "base36")
+        .when(t.rlike("^[0-9A-Z]+$") & mixed, "base36_upper")
         .when(t.rlike("^[0-9A-Za-z]+$") & mixed & t.rlike("[A-Z]") & t.rlike("[a-z]"), "base62")
         .when(t.rlike("^[A-Za-z0-9+/]+$") & mixed & t.rlike("[A-Z]") & t.rlike("[a-z]"), "base64")
         .when(t.rlike("^[A-Za-z0-9_-]+$") & mixed & t.rlike("[A-Z]") & t.rlike("[a-z]"), "base64url")
@@ -87,7 +95,8 @@ def _tests(tokens: DataFrame) -> DataFrame:
     chi = F.expr("k * squares / n - n")
     expected_runs, spread = F.expr("2 * n1 * (n - n1) / n + 1"), F.expr("2 * n1 * (n - n1) * (2 * n1 * (n - n1) - n) / (n * n * (n - 1))")
     known = known.withColumn("chi", chi)
-    text_mean, text_var = F.expr(f"k * ((n - 1) * {TEXT_IC} + 1) - n"), F.expr(f"2 * (k - 1) + 4 * n * k * k * {TEXT_SKEW}")
+    ic, skew = f"if(k = 16, {HEX_IC}D, {TEXT_IC}D)", f"if(k = 16, {HEX_SKEW}D, {TEXT_SKEW}D)"
+    text_mean, text_var = F.expr(f"k * ((n - 1) * {ic} + 1) - n"), F.expr(f"2 * (k - 1) + 4 * n * k * k * {skew}")
     return known.select(
         *tokens.columns,
         "encoding",
@@ -122,6 +131,18 @@ def random_tokens(tokens: DataFrame, alpha_z: float = 3.3, fdr: float = 0.01) ->
     return passed.filter(F.col("passed") & (F.col("bin") >= least)).select(*tokens.columns, "encoding")
 
 
+def _united(spans: Column) -> Column:
+    """Sorted ``spans`` of one kind, overlapping ones as one."""
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        both = F.struct(last["start"].alias("start"), s["rank"].alias("rank"), F.greatest(last["end"], s["end"]).alias("end"), s["kind"].alias("kind"))
+        before = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+        return F.when(F.coalesce(s["start"] < last["end"], F.lit(False)), F.concat(before, F.array(both))).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"), step)
+
+
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), min_length: int = 20, fdr: float = 0.01) -> DataFrame:
     """(doc_id, *keep, base, added) of each row of ``docs``: arrays of (start, rank, end, kind),
     sorted; ``added`` holds what the battery finds beyond the base spans."""
@@ -137,13 +158,14 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         spans("access", matches(text, ACCESS), lambda m: F.lit(True)),
         spans("hex", matches(text, HEX), lambda m: F.lit(True)),
     )
-    tokens = F.filter(matches(text, f"[A-Za-z0-9+/_-]{{{min_length},}}"), lambda m: m["match"].rlike("[0-9]") & m["match"].rlike("[A-Za-z]"))
+    runs = F.array_distinct(F.concat(*(matches(text, f"[A-Za-z0-9{more}]{{{min_length},}}") for more in ("+/_-", "_-", "+/", ""))))
+    tokens = F.filter(runs, lambda m: m["match"].rlike("[0-9]") & m["match"].rlike("[A-Za-z]"))
     rows = src.select("secret_id", *keep, F.array_sort(base).alias("base"), F.transform(tokens, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("token"))).alias("tokens"))
     rows = stash(rows.withColumn("secret_row", F.monotonically_increasing_id()), "secret-rows")
     one = rows.select("secret_row", "base", F.explode("tokens").alias("t")).select("secret_row", "base", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("t.token").alias("token"))
     one = one.filter(~F.exists("base", lambda b: (b["start"] <= F.col("start")) & (b["end"] >= F.col("end")))).drop("base")
     found = random_tokens(one, fdr=fdr).groupBy("secret_row").agg(
-        F.array_sort(F.collect_list(F.struct("start", F.lit(KINDS.index("random")).alias("rank"), "end", F.lit("random").alias("kind")))).alias("added")
+        _united(F.array_sort(F.collect_list(F.struct("start", F.lit(KINDS.index("random")).alias("rank"), "end", F.lit("random").alias("kind"))))).alias("added")
     )
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     joined = rows.drop("tokens").join(found, "secret_row", "left")

@@ -245,7 +245,7 @@ def test_one_of_each_star(spark):
     base = [f"w{rng.randrange(50000)}" for _ in range(450)]
     texts = [" ".join(base)] + [" ".join(edited(rng, base, rng.randrange(6, 9))) for _ in range(100)]
     own = shingles(texts[0])
-    assert all(0.81 <= len(own & s) / len(own | s) < 0.89 for s in map(shingles, texts[1:]))
+    assert all(len(own & s) / len(own | s) >= 0.82 for s in map(shingles, texts[1:]))
     assert len(kept_of_each(spark, texts)) <= 3  # at 0.82 few pairs share no key
 
 
@@ -426,6 +426,16 @@ def test_secrets(spark, odd):
     assert secrets.secret_spans(odd).count() == odd.count() and secrets.secret_spans(odd.limit(0)).count() == 0
 
 
+def test_secrets_upper_case_and_in_paths(spark):
+    keys = ["9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "ETQV5ZIPBUYAMKXC2F0648J9RHSL71OW", "P34TICWG75HSB2R9KQAUFVDL1XOMNEY6", "Zx9Q2mK8vLp4Tn7RbW3cYd6HsJ1fGk5N"]
+    texts = [f"see {k} now" for k in keys] + [f"see api_v1/{keys[3]} now", "DEADBEEFDEADBEEFDEADBEEF1 api_v1/thththththththththththth1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.added for r in secrets.secret_spans(docs).select("doc_id", secrets.span_text(F.col("added")).alias("added")).collect()}
+    for k in range(4):
+        assert got[k] == f"random:4:{4 + len(keys[k])}", k
+    assert got[4] == f"random:8:{11 + len(keys[3])}" and got[5] == ""  # with the path's v1/, which fits base64
+
+
 def test_secret_query(spark, docs):
     found = {r.doc_id: r for r in queries()["op2_secrets"](spark, SF).collect()}
     for r in docs.collect():
