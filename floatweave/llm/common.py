@@ -5,23 +5,33 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session does not name one (single-machine tests) is a local
-    temporary folder chosen and recorded in the session.
+    Only a local master (single-machine tests) may do without: then a temporary
+    folder is chosen and recorded in the session. On a cluster its absence is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="floatweave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def tasks_for(df: DataFrame) -> int:
+    """A number of shuffle tasks that grows with the input: as many as the session names, and
+    one for each split of the scan at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -43,14 +53,18 @@ def stash_at(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame,
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def stash_bucketed(df: DataFrame, name: str, key: str, codec: str = "zstd") -> DataFrame:
-    """As ``stash``, dealt into as many buckets by ``key`` as a shuffle has
-    partitions: a join on ``key`` then moves the other side alone."""
+def stash_bucketed(df: DataFrame, name: str, key: str, buckets: int, codec: str = "zstd") -> tuple[DataFrame, Callable[[], None]]:
+    """As ``stash``, dealt into ``buckets`` by ``key``, so that a join on ``key`` moves the other
+    side alone; and a function that drops the table and its files."""
     spark = df.sparkSession
-    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.option("compression", codec).option("path", new_path(spark, name)).bucketBy(n, key).saveAsTable(table)
-    return spark.table(table)
+    table, path = f"{name.replace('-', '_')}_{uuid.uuid4().hex}", new_path(spark, name)
+    df.write.option("compression", codec).option("path", path).bucketBy(buckets, key).saveAsTable(table)
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE {table}")
+        discard(spark, path)
+
+    return spark.table(table), drop
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -64,3 +78,36 @@ def settle(spark: SparkSession) -> None:
     whose results are stashed; else they stay on the executors' disks until it happens to."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def marked_keys(keys: DataFrame, key: str, most: int = 1 << 26) -> tuple[DataFrame, int]:
+    """(word, bits), a bitmap of the longs in ``key``, and its number of slots.
+
+    A Bloom filter of one hash, made and asked by DataFrame operations: ``may_hold`` joins it
+    to a table, which so parts into rows that certainly have no partner and rows that may.
+    It has some 16 slots a key, and at most ``most`` slots, that is a row for each 64: its
+    broadcast is bounded whatever the data; beyond that more rows are sent the exact way.
+    """
+    n = keys.count()
+    slots = min(most, max(1 << 12, 1 << (16 * n).bit_length()))
+    at = F.pmod(F.col(key), F.lit(slots))
+    one = keys.select(F.shiftright(at, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("bit"))
+    return stash(one.groupBy("word").agg(F.bit_or("bit").alias("bits")), "marked-keys"), slots
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def may_hold(df: DataFrame, key: str, bitmap: DataFrame, slots: int, name: str = "marked") -> DataFrame:
+    """Add the boolean ``name``: false only where ``key`` is none of the bitmap's keys."""
+    word, bits = free_name(df, "bitmap_word"), free_name(df, "bitmap_bits")
+    at = F.pmod(F.col(key), F.lit(slots))
+    words = F.broadcast(bitmap.select(F.col("word").alias(word), F.col("bits").alias(bits)))
+    joined = df.join(words, F.shiftright(at, 6).cast("int") == F.col(word), "left")
+    bit = F.call_function("shiftright", F.coalesce(bits, F.lit(0).cast("long")), F.pmod(at, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+    return joined.withColumn(name, bit == 1).drop(word, bits)

@@ -1,9 +1,9 @@
 """Splitting text into pre-tokens as the public tokenizers do, and cached encoding.
 
 The merges of a byte-pair encoding never cross a pre-token, so the ids of a
-text are the ids of its pre-tokens in order. Texts whose characters all lie in
-``SAFE`` are split here with explicit character classes; any other text, and
-any text that holds a special token's string, goes to the library whole.
+text are the ids of its pre-tokens in order. What lies within the ranges that
+``UNSAFE`` leaves is split here with explicit character classes; for the rest the
+library's own pre-tokenizer is asked, so both follow its Unicode tables.
 """
 
 from __future__ import annotations
@@ -13,6 +13,12 @@ import unicodedata
 from array import array
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+LONG = 64  # characters of a chunk that is not kept
+
 _RANGE = [chr(c) for c in range(0x250)]
 _LETTERS = "".join(c for c in _RANGE if unicodedata.category(c)[0] == "L")
 _NUMBERS = "".join(c for c in _RANGE if unicodedata.category(c)[0] == "N")
@@ -31,9 +37,13 @@ BYTE_LEVEL = re.compile(
 WORD_LEVEL = re.compile(f"{_CONTRACTIONS}|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
 
 
+_WIDE = [c for c in map(chr, range(0x3001)) if (c.isspace() or c == "\u180e") and c != " "]
+_ASCII = [c for c in _WIDE if c < "\x80"]
+
+
 def space_run(text: str) -> bool:
     """Whether a space stands beside more white space: then cutting at single spaces is not exact."""
-    return any(c in text and (" " + c in text or c + " " in text) for c in _SPACES if c != " ") or "  " in text
+    return "  " in text or any(c in text and (" " + c in text or c + " " in text) for c in (_ASCII if text.isascii() else _WIDE))
 
 
 @lru_cache(maxsize=4)
@@ -75,67 +85,115 @@ class Cache:
         self.new[key] = value
 
 
+class IdTable:
+    """The ids of strings, found by the strings' 64-bit hashes in sorted arrays, which take a
+    third of a dictionary's memory and no walk through it; at most ``limit`` strings."""
+
+    def __init__(self, dtype: np.dtype, limit: int = 2_000_000):
+        self.dtype, self.limit = dtype, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.hash, self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.pool, self.used = np.empty(1 << 20, self.dtype), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        if not len(self.hash):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        return np.where(self.hash[at] == h, at, -1)
+
+    def add(self, h: np.ndarray, ids: list[bytes]) -> None:
+        if len(self.hash) + len(h) > self.limit:
+            self.clear()
+        new = np.frombuffer(b"".join(ids), self.dtype)
+        if self.used + len(new) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(max(len(new), self.used), self.dtype)])
+        self.pool[self.used : self.used + len(new)] = new
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // self.dtype.itemsize
+        first = self.used + np.cumsum(size, dtype=np.int64) - size
+        self.used += len(new)
+        order = np.argsort(h)
+        at = np.searchsorted(self.hash, h[order])
+        self.hash, self.first, self.size = (np.insert(old, at, x[order]) for old, x in ((self.hash, h), (self.first, first), (self.size, size)))
+
+
 class ByteLevelEncoder:
     """Ids of whole texts under a byte-level vocabulary file of the tokenizers library.
 
-    The library's model merges each pre-token that the bounded cache does not
-    hold; a chunk between single spaces is kept with the ids of its pre-tokens.
+    A text is cut at its single spaces, where a pre-token always begins whatever the
+    letters. Arrow finds the distinct chunks of a run of texts; each is looked up once in a
+    bounded table, and the library's model merges the pre-tokens of those that are new.
+    Texts with a space beside more white space go to the library whole.
     """
 
-    def __init__(self, path: str, dtype: str, cache_size: int = 500_000):
-        self.code = {"<u2": "H", "<u4": "I"}[dtype]  # little-endian machines, as Arrow's
+    def __init__(self, path: str, dtype: str, cache_size: int = 200_000):
+        self.dtype, self.code = np.dtype(dtype), {"<u2": "H", "<u4": "I"}[dtype]  # little-endian machines, as Arrow's
         self.tok = load_tokenizer(path)
         self.special = special_strings(self.tok)
         self.chars = byte_chars()
-        self.cache = Cache(cache_size)
+        self.pieces = Cache(cache_size)
+        self.table = IdTable(self.dtype)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _piece(self, key: str, piece: str) -> bytes:
-        if (ids := self.cache.get(key)) is None:
+        if (ids := self.pieces.get(key)) is None:
             plain = piece[0] == " " and piece.isascii() and (rest := piece[1:]).isprintable() and " " not in rest
             shown = "Ġ" + rest if plain else "".join([self.chars[b] for b in piece.encode()])
             ids = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
-            self.cache.put(key, ids)
+            self.pieces.put(key, ids)
         return ids
 
     def _learn(self, chunk: str) -> bytes:
         """The ids of a chunk behind one space. Pre-tokens are kept under their text behind the
         space, or under a mark of their own if they have none before them."""
+        if len(chunk) > LONG or UNSAFE.search(chunk):
+            return self._library([" " + chunk])[0]
         if chunk.isalpha():
             return self._piece(chunk, " " + chunk)
         if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
-            out = self._piece(chunk[:-1], " " + chunk[:-1]) + self._piece("\0" + chunk[-1], chunk[-1])
-        else:
-            out = b"".join([self._piece(p[1:] if p[0] == " " and len(p) > 1 else "\0" + p, p) for p in BYTE_LEVEL.findall(" " + chunk)])
-        self.cache.put(chunk, out)
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian ``dtype`` bytes."""
+            return self._piece(chunk[:-1], " " + chunk[:-1]) + self._piece("\0" + chunk[-1], chunk[-1])
+        return b"".join([self._piece(p[1:] if p[0] == " " and len(p) > 1 else "\0" + p, p) for p in BYTE_LEVEL.findall(" " + chunk)])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each text)."""
+        if not texts:
+            return np.empty(0, self.dtype), np.empty(0, np.int64)
         self.model = self.tok.model
-        out: list[bytes] = [b""] * len(texts)
-        hard, heads = [], {}
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if UNSAFE.search(t) or t[0] in _SPACES or t[-1] in _SPACES or space_run(t) or any(s in t for s in self.special):
-                hard.append(i)
-                continue
-            head, *rest = t.split(" ")
-            heads[i] = head
-            known = self.cache.new.get
-            got = [known(c) for c in rest]
-            if None in got:
-                again, learn = self.cache.get, self._learn
-                for k, v in enumerate(got):
-                    if v is None and (v := again(rest[k])) is None:
-                        v = learn(rest[k])
-                    got[k] = v
-            out[i] = b"".join(got)
-        for i, ids in zip(heads, self._library(list(heads.values())) if heads else []):
-            out[i] = ids + out[i]
-        for i, ids in zip(hard, self._library([texts[i] for i in hard]) if hard else []):
-            out[i] = ids
-        return out
+        hard = [i for i, t in enumerate(texts) if space_run(t) or any(s in t for s in self.special)]
+        easy = texts
+        if hard:
+            easy = list(texts)
+            for i in hard:
+                easy[i] = ""
+        cut = pc.split_pattern(pa.array(easy, pa.large_string()), " ")
+        start = cut.offsets.to_numpy()
+        chunks = cut.values.dictionary_encode()
+        code = chunks.indices.to_numpy().copy()
+        words = chunks.dictionary.to_pylist()
+        h = np.fromiter(map(hash, words), np.int64, len(words))
+        new = np.flatnonzero(self.table.find(h) < 0)
+        # a text's first chunk has no space before it; whole texts of the library come last
+        heads = cut.values.take(pa.array(start[:-1])).dictionary_encode()
+        code[start[:-1]] = heads.indices.to_numpy() + len(words)
+        own = self._library(heads.dictionary.to_pylist())
+        if hard:
+            code[start[:-1][hard]] = np.arange(len(hard)) + len(words) + len(own)
+            own += self._library([texts[i] for i in hard])
+        if len(new):
+            self.table.add(h[new], [self._learn(words[k]) for k in new.tolist()])
+            if (self.table.find(h) < 0).any():  # the table began anew
+                new = np.flatnonzero(self.table.find(h) < 0)
+                self.table.add(h[new], [self._learn(words[k]) for k in new.tolist()])
+        table, at = self.table, self.table.find(h)
+        pool = np.concatenate([np.frombuffer(b"".join(own), self.dtype), table.pool[: table.used]])
+        size = np.fromiter(map(len, own), np.int64, len(own)) // self.dtype.itemsize
+        first = np.concatenate([table.first[at] + len(pool) - table.used, np.cumsum(size) - size])
+        n = np.concatenate([table.size[at], size])[code]
+        ends = np.cumsum(n)
+        place = np.repeat(first[code] - (ends - n), n)
+        place += np.arange(len(place))
+        return pool[place], np.add.reduceat(n, start[:-1])

@@ -20,7 +20,8 @@ at most two bits, as two fingerprints do exactly if they differ in at most four.
 Cases: texts of fewer words than a shingle hash whole; null, empty and wordless
 texts have fingerprint zero and link like any other; null ids are kept, and
 name a component only if it has no other; repeated rows each get their row;
-extra columns are ignored.
+extra columns are ignored; a very long text has all its shingles hashed; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import discard, settle, stash, stash_at
+from .common import discard, free_name, marked_keys, may_hold, settle, stash, stash_at
 from .components import connected_components
 
 BITS, LIMIT = 64, 4
@@ -260,7 +261,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def _wide_prints(width: int):
-    """(doc_id, k1, k2, text) to (doc_id, k1, k2, f0, f1, s0, s1): the print's halves, and those of the shingle set's digest."""
+    """(doc_id, k1, k2, text) to (doc_id, k1, k2, f0, f1, s0, s1, n): the print's halves, those of the shingle set's digest, and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -272,43 +273,53 @@ def _wide_prints(width: int):
                 for t in batch.column(3).to_pylist():
                     h = np.unique(hashes(t, width))  # similarity is that of sets, so a repeated shingle votes once
                     digest = np.frombuffer(xxhash.xxh128_digest(h.tobytes()), np.int64)
-                    prints.append((fingerprint(h), fingerprint(_mix(h)) if len(h) else 0, *digest.tolist()))
-                f = [pa.array([p[k] for p in prints], pa.int64()) for k in range(4)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *f], ["doc_id", "k1", "k2", "f0", "f1", "s0", "s1"])
+                    prints.append((fingerprint(h), fingerprint(_mix(h)) if len(h) else 0, *digest.tolist(), len(h)))
+                f = [pa.array([p[k] for p in prints], pa.int64()) for k in range(5)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *f], ["doc_id", "k1", "k2", "f0", "f1", "s0", "s1", "n"])
 
     return run
 
 
+def wide_keys(f0: np.ndarray, f1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, keys): every key of every segment of the prints (f0, f1)."""
+    rows, keys = [], []
+    for half, f in enumerate((f0, f1)):
+        for i, (start, n) in enumerate(_CUTS):
+            code, count = golay.keys((f.view(np.uint64) >> np.uint64(start)).astype(np.int64) & ((1 << n) - 1))
+            for k in range(6):
+                on = np.flatnonzero(count > k)
+                rows.append(on)
+                keys.append((half * 3 + i) << 12 | code[on, k])
+    return np.concatenate(rows), np.concatenate(keys).astype(np.int64)
+
+
 def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid, f0, f1) to (key, uid, f0, f1)."""
+    """(uid, f0, f1, n) to (key, uid, f0, f1, n)."""
     for whole in batches:
         for at in range(0, whole.num_rows, 2048):
-            uid, *halves = (whole.column(k).slice(at, 2048).to_numpy() for k in range(3))
-            rows, keys = [], []
-            for half, f in enumerate(halves):
-                for i, (start, n) in enumerate(_CUTS):
-                    code, count = golay.keys((f.view(np.uint64) >> np.uint64(start)).astype(np.int64) & ((1 << n) - 1))
-                    for k in range(6):
-                        on = np.flatnonzero(count > k)
-                        rows.append(on)
-                        keys.append((half * 3 + i) << 12 | code[on, k])
-            r = np.concatenate(rows)
-            cols = [np.concatenate(keys).astype(np.int64), uid[r], halves[0][r], halves[1][r]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "uid", "f0", "f1"])
+            cols = [whole.column(k).slice(at, 2048).to_numpy() for k in range(4)]
+            rows, keys = wide_keys(cols[1], cols[2])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(c[rows]) for c in cols)], ["key", "uid", "f0", "f1", "n"])
+
 
+def _distance(f: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Differing bits of prints of two words each."""
+    return np.bitwise_count(f[..., 0] ^ g[..., 0]).astype(np.uint8) + np.bitwise_count(f[..., 1] ^ g[..., 1])
 
-def _nearest_tree(f: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
-    """(a, b, first of the tree) of a minimum spanning forest of the pairs within ``limit``; f: one row of two words each."""
+
+def _nearest_tree(f: np.ndarray, size: np.ndarray, limit: int, similarity: float) -> list[tuple[int, int, int]]:
+    """(a, b, first of the tree) of a minimum spanning forest of the pairs within ``limit`` whose sizes admit ``similarity``."""
 
     def far(k, rows):
-        return np.bitwise_count(rows[:, 0] ^ f[k, 0]).astype(np.int64) + np.bitwise_count(rows[:, 1] ^ f[k, 1])
+        fits = np.minimum(size[k], size[rows]) >= similarity * np.maximum(size[k], size[rows])
+        return np.where(fits, _distance(f[k], f[rows]), 255)
 
     out = []
     rest = np.arange(len(f))
     while len(rest) > 1:
         at, rest = rest[0], rest[1:]
         first = int(at)
-        best, via = far(at, f[rest]), np.full(len(rest), at)
+        best, via = far(at, rest), np.full(len(rest), at)
         while len(rest):
             k = int(best.argmin())
             if best[k] > limit:
@@ -317,14 +328,14 @@ def _nearest_tree(f: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
             out.append((int(via[k]), int(at), first))
             left = np.arange(len(rest)) != k
             rest, best, via = rest[left], best[left], via[left]
-            d = far(at, f[rest])
+            d = far(at, rest)
             nearer = d < best
             best, via = np.where(nearer, d, best), np.where(nearer, at, via)
     return out
 
 
-def _wide_links(limit: int, strip: int = 512):
-    """Sorted (key, uid, f0, f1) to (cluster, a, b): a spanning forest of each key's near pairs.
+def _wide_links(limit: int, similarity: float, strip: int = 512):
+    """Sorted (key, i, j, uid, f0, f1, n) to (cluster, a, b): a spanning forest of the near pairs of each (key, i, j).
     cluster stands for the members of a tree, and is null where they are two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,22 +345,24 @@ def _wide_links(limit: int, strip: int = 512):
         now = None
 
         def close():
-            uid = np.concatenate([h[0] for h in held])
+            uid, size = (np.concatenate([h[k] for h in held]) for k in (0, 3))
             f = np.stack([np.concatenate([h[k] for h in held]).view(np.uint64) for k in (1, 2)], 1)
             held.clear()
-            order = np.argsort(uid)  # equal members make equal trees
-            uid, f = uid[order], f[order]
+            order = np.lexsort((uid, size))  # equal members make equal trees
+            uid, f, size = uid[order], f[order], size[order]
             near = np.zeros(len(uid), bool)
             for at in range(0, len(uid), strip):
                 own = f[at : at + strip]
-                for to in range(at, len(uid), 8 * strip):  # a bounded part of the pairs at a time
-                    other = f[to : to + 8 * strip]
-                    d = np.bitwise_count(own[:, None, 0] ^ other[None, :, 0]) + np.bitwise_count(own[:, None, 1] ^ other[None, :, 1])
-                    x, y = np.nonzero(d <= limit)
-                    off = x + at != y + to
-                    near[x[off] + at] = near[y[off] + to] = True
+                # sets of a similarity have sizes of that ratio at least
+                end = int(np.searchsorted(size, size[min(at + strip, len(size)) - 1] / similarity, "right"))
+                for to in range(at, end, 8 * strip):  # a bounded part of the pairs at a time
+                    upto = min(end, to + 8 * strip)
+                    x, y = np.nonzero(_distance(own[:, None], f[None, to:upto]) <= limit)
+                    x, y = x + at, y + to
+                    off = (x != y) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]))
+                    near[x[off]] = near[y[off]] = True
             some = np.flatnonzero(near)
-            edges = _nearest_tree(f[some], limit) if len(some) else []
+            edges = _nearest_tree(f[some], size[some], limit, similarity) if len(some) else []
             trees: dict[int, list[int]] = {}
             for e in edges:
                 trees.setdefault(e[2], [e[2]]).append(e[1])
@@ -358,21 +371,32 @@ def _wide_links(limit: int, strip: int = 512):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["cluster", "a", "b"])
 
         for batch in batches:
-            key, uid, f0, f1 = (batch.column(k).to_numpy() for k in range(4))
-            cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            key, i, j, uid, f0, f1, n = (c.to_numpy() for c in batch.columns)
+            new = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(key)]])
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
                     continue
-                if key[a] != now and held:
+                if (own := (key[a], i[a], j[a])) != now and held:
                     yield close()
-                now = key[a]
-                held.append((uid[a:b], f0[a:b], f1[a:b]))
+                now = own
+                held.append((uid[a:b], f0[a:b], f1[a:b], n[a:b]))
         if held:
             yield close()
 
     return run
 
 
+def _tiled(keyed: DataFrame, tile: int) -> DataFrame:
+    """``keyed`` with (i, j): a key of over ``tile`` members is dealt into tiles of its own, and every
+    two tiles meet, so no task gathers it. The hot keys are among 24,576, which bounds their broadcast."""
+    hot = keyed.groupBy("key").agg(F.count("*").alias("members")).filter(F.col("members") > tile)
+    hot = stash(hot.select("key", F.ceil(F.col("members") / tile).cast("int").alias("tiles")), "wide-hot")
+    dealt = keyed.join(F.broadcast(hot), "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "uid", "f0", "f1", "n")
+
+
 def _same_sets(similarity: float):
     """(a, b, x, y), texts' hash sets as bytes, to (a, b) of those with a Jaccard index of ``similarity``."""
 
@@ -484,45 +508,72 @@ def _edges_between(links: DataFrame, groups: DataFrame, parts: DataFrame, sets:
     return near.join(sets, "uid").select("key", "uid", "part", "f0", "f1", "hashes").repartition("key").sortWithinPartitions("key").mapInArrow(_joined(WIDE_LIMIT, similarity), "a long, b long")
 
 
-def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """128 bits that stand for a row: its id, its text and all else in it."""
+    plain = {"boolean", "byte", "short", "integer", "long", "float", "double", "string", "binary", "date", "timestamp"}
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    rest = [F.col(f"`{c}`") if docs.schema[c].dataType.typeName() in plain else F.to_json(F.struct(F.col(f"`{c}`"))) for c in rest]
+    return F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col), *rest), F.xxhash64(F.lit(2), F.col(text_col), F.col(id_col), *rest)
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tile: int = 8192) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each connected group of texts whose
     shingle sets have a Jaccard index of at least ``similarity`` (0.8 or more), the row with
-    the smallest id stays (a null id is the smallest; then by a hash of the text). Of equal
-    rows one stays."""
+    the smallest id stays (a null id is the smallest; then by a hash of the row).
+
+    Texts move only where they must: those of candidate pairs, to be verified, and the rows of
+    groups with more than one, to be thinned. A bounded bitmap of keys tells all other rows,
+    which stay without a shuffle.
+
+    Cases: null, empty and wordless texts have the empty set and are copies of each other;
+    texts of fewer words than ``width`` are compared whole; null ids are kept like others; of
+    equal rows one stays; a very long text has all its shingles hashed; extra columns are
+    carried, whatever their names; an empty table gives an empty one."""
     if similarity < 0.8:
         raise ValueError("the candidates are calibrated for 0.8 and more")
-    key = [F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)), F.xxhash64(F.lit(2), F.col(text_col), F.col(id_col))]
-    marked = docs.withColumns({"simhash_k1": key[0], "simhash_k2": key[1]})
-    src = marked.select(F.col(id_col).cast("long").alias("doc_id"), F.col("simhash_k1").alias("k1"), F.col("simhash_k2").alias("k2"), F.col(text_col).alias("text"))
-    prints = stash(src.mapInArrow(_wide_prints(width), "doc_id long, k1 long, k2 long, f0 long, f1 long, s0 long, s1 long"), "wide-prints")
+    spark = docs.sparkSession
+    names, flag = [free_name(docs, n) for n in ("row_k1", "row_k2")], free_name(docs, "row_marked")
+    marked = docs.withColumns(dict(zip(names, _row_key(docs, id_col, text_col))))
+    src = marked.select(F.col(id_col).cast("long").alias("doc_id"), F.col(names[0]).alias("k1"), F.col(names[1]).alias("k2"), F.col(text_col).alias("text"))
+    schema = "doc_id long, k1 long, k2 long, f0 long, f1 long, s0 long, s1 long, n long"
+    prints = stash(src.mapInArrow(_wide_prints(width), schema), "wide-prints")
     # equal sets of shingles make one group
-    groups = prints.groupBy("s0", "s1").agg(F.min(F.struct("doc_id", "k1", "k2", "f0", "f1")).alias("rep"))
-    groups = groups.select(F.struct("rep.doc_id", "rep.k1", "rep.k2").alias("rep"), "rep.f0", "rep.f1")
+    groups = prints.groupBy("s0", "s1").agg(F.min(F.struct("doc_id", "k1", "k2", "f0", "f1", "n")).alias("rep"), F.count("*").alias("copies"))
+    groups = groups.select("s0", F.struct("rep.doc_id", "rep.k1", "rep.k2").alias("rep"), "rep.f0", "rep.f1", "rep.n", "copies")
     groups = stash(groups.withColumn("uid", F.monotonically_increasing_id()), "wide-groups")
-    keyed = groups.select("uid", "f0", "f1").mapInArrow(_wide_keys, "key long, uid long, f0 long, f1 long")
-    dealt = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_links(WIDE_LIMIT), "cluster long, a long, b long")
+    keyed = groups.select("uid", "f0", "f1", "n").mapInArrow(_wide_keys, "key long, uid long, f0 long, f1 long, n long")
+    order = ["key", "i", "j"]
+    dealt = _tiled(keyed, tile).repartition(*order).sortWithinPartitions(*order).mapInArrow(_wide_links(WIDE_LIMIT, similarity), "cluster long, a long, b long")
     links = stash(dealt.select("cluster", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "wide-links")
     found = links.select("a", "b").distinct()
     asked = found.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
     reps = stash(groups.join(asked, "uid").select("uid", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2")), "wide-asked")
-    texts = src.select("k1", "k2", "text").join(reps, ["k1", "k2"]).dropDuplicates(["uid"]).select("uid", "text")
+    texts = may_hold(src, "k1", *marked_keys(reps, "k1")).filter("marked").select("k1", "k2", "text")
+    texts = texts.dropDuplicates(["k1", "k2"]).join(reps, ["k1", "k2"]).select("uid", "text")
     sets, sets_path = stash_at(texts.mapInArrow(_hash_sets(width), "uid long, hashes binary"), "wide-sets")
     pairs = found.join(sets.select(F.col("uid").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("hashes").alias("y")), "b")
     same = pairs.select("a", "b", "x", "y").mapInArrow(_same_sets(similarity), "a long, b long")
     edges = stash(same, "wide-edges")
     # the moved texts have served
     del texts, pairs, same, dealt, keyed
-    settle(docs.sparkSession)
+    settle(spark)
     parts = stash(connected_components(edges).withColumnRenamed("node", "uid"), "wide-parts")
     more = stash(_edges_between(links, groups, parts, sets, similarity), "wide-more")
     del sets
-    discard(docs.sparkSession, sets_path)
+    discard(spark, sets_path)
     if not more.isEmpty():
         edges = parts.select(F.col("uid").alias("a"), F.col("component").alias("b")).unionByName(more)
         parts = stash(connected_components(edges).withColumnRenamed("node", "uid"), "wide-joined")
-    settle(docs.sparkSession)
+    settle(spark)
     best = stash(groups.join(parts, "uid").groupBy("component").agg(F.min("rep").alias("best")), "wide-best")
-    lost = parts.join(best, "component").join(groups, "uid").filter("rep <> best").select("uid")
-    kept = groups.join(lost, "uid", "left_anti").select(F.col("rep.k1").alias("simhash_k1"), F.col("rep.k2").alias("simhash_k2"))
-    keys = ["simhash_k1", "simhash_k2"]
-    return marked.join(stash(kept, "wide-kept"), keys, "left_semi").dropDuplicates(keys).drop(*keys)
+    placed = groups.join(parts, "uid", "left").join(best, "component", "left")
+    placed = placed.select("s0", "rep", (F.col("best").isNotNull() | (F.col("copies") > 1)).alias("several"), (F.col("best").isNull() | (F.col("rep") == F.col("best"))).alias("stays"))
+    several = stash(placed.filter("several").select("s0", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"), "stays"), "wide-several")
+    # rows of a group with more than one, and few others: of these the best of each group stay
+    rows = may_hold(prints.select("s0", "s1", "k1"), "s0", *marked_keys(several, "s0")).filter("marked")
+    bitmap, slots = marked_keys(rows, "k1")
+    checked = may_hold(marked, names[0], bitmap, slots, flag)
+    kept = may_hold(groups.select(F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2")), "k1", bitmap, slots).filter("marked").drop("marked")
+    kept = kept.join(several.filter("not stays").select("k1", "k2"), ["k1", "k2"], "left_anti").select(F.col("k1").alias(names[0]), F.col("k2").alias(names[1]))
+    thinned = checked.filter(F.col(flag)).dropDuplicates(names).join(kept, names, "left_semi")
+    return checked.filter(~F.col(flag)).unionByName(thinned).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -10,9 +10,10 @@
 
 Cases: a null or empty text counts as zero bytes and zero tokens; a null id is
 kept; repeated rows each get their row; extra columns are ignored; an empty
-table gives an empty result. Texts with characters beyond the Latin and
-punctuation ranges, or with a special token's string, are counted whole by the
-library, which finds special tokens as it does by default.
+table gives an empty result; a very long text is a block of its own. Texts with
+a special token's string are counted whole by the library, which finds special
+tokens as it does by default; so are all texts under a sentence model, whose
+pieces may span words.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash_bucketed
+from .common import stash, stash_bucketed, tasks_for
 from .pretokens import BYTE_LEVEL, UNSAFE, load_tokenizer, special_strings
 
 _BLOCK = "block long, words array<string>, doc array<long>, n_bytes array<long>, whole array<long>, ptr array<long>, freq binary, size long"
@@ -66,11 +67,13 @@ def _frequencies(path: str, block_chars: int):
                     n_bytes.append(len(t.encode()))
                     if tok is None:  # pieces of a sentence model may span words: whole texts
                         whole.append(len(piece.encode(t, num_threads=1)))
-                    elif UNSAFE.search(t) or any(s in t for s in special):
+                    elif any(s in t for s in special):
                         whole.append(len(tok.encode_batch_fast([t], add_special_tokens=False)[0].ids))
                     else:
                         whole.append(0)
-                        for w, n in Counter(split(t)).items():
+                        # beyond the Latin ranges the library's own pre-tokenizer cuts, by its Unicode tables
+                        cut = [t[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(t)] if UNSAFE.search(t) else split(t)
+                        for w, n in Counter(cut).items():
                             idx.append(words.setdefault(w, len(words)))
                             cnt.append(n)
                     ptr.append(len(idx))
@@ -146,9 +149,11 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 32_000_000) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of each row of ``docs`` under the vocabulary file ``tokenizer``."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = stash_bucketed(src.mapInArrow(_frequencies(tokenizer, block_chars), _BLOCK), "token-blocks", "block")
+    blocks, drop = stash_bucketed(src.mapInArrow(_frequencies(tokenizer, block_chars), _BLOCK), "token-blocks", "block", tasks_for(src))
     words = blocks.select("block", F.posexplode("words").alias("pos", "word")).select("word", "block", "pos")
-    counted = words.repartition("word").sortWithinPartitions("word").mapInArrow(_pieces(tokenizer), "block long, pos binary, num binary")
+    counted = words.repartition(tasks_for(src), "word").sortWithinPartitions("word").mapInArrow(_pieces(tokenizer), "block long, pos binary, num binary")
     per_block = counted.groupBy("block").agg(F.collect_list(F.struct("pos", "num")).alias("parts"))
     joined = blocks.select("block", "doc", "n_bytes", "whole", "ptr", "freq", "size", F.size("words").alias("n_words")).join(per_block, "block", "left")
-    return joined.mapInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
+    counts = stash(joined.mapInArrow(_sums, "doc_id long, n_bytes long, n_tokens long"), "token-counts")
+    drop()
+    return counts

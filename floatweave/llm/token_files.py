@@ -8,12 +8,15 @@ alone. Shards are ranges of doc_id in ascending order, segments within a shard
 are too, so ``start`` follows from the lengths.
 
 Writing: the texts are dealt out by range and sorted; a task tokenises its
-range and packs runs of about ``segment_tokens`` ids, stashed once. Their
-counts, over all ids, give the table; a second pass codes each run by itself.
+range and packs runs of about ``segment_tokens`` ids, stashed once, with the
+counts of its ids; their sum over all tasks gives the table, and a second pass
+codes each run by itself.
 
 Cases: a null or empty text has the end id alone; null ids sort first; rows of
-one id are ordered by a hash of their text; extra columns are ignored; an empty
-table gives an empty file set.
+one id are ordered by a hash of their text; repeated rows each get their ids;
+extra columns are ignored; an empty table gives an empty file set. A text longer
+than a run makes a run of its own, and a task tokenises some millions of
+characters at a time, or one text if it is longer.
 """
 
 from __future__ import annotations
@@ -29,10 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import discard, stash_at
+from .common import discard, stash_at, tasks_for
 from .pretokens import ByteLevelEncoder, load_tokenizer
 
-_RUN = "shard long, seg long, first long, docs array<long>, lens array<long>, ids binary"
+_RUN = "shard long, seg long, first long, docs array<long>, lens array<long>, ids binary, symbols array<int>, counts array<long>"
 _SEGMENT = "shard long, seg long, first long, n_tokens long, docs array<long>, lens array<long>, data binary"
 _held: dict[tuple[str, str], ByteLevelEncoder] = {}
 
@@ -41,48 +44,56 @@ def _dtype(path: str) -> str:
     return "<u2" if load_tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
 
-def _runs(path: str, end_id: int, segment_tokens: int):
+def _runs(path: str, end_id: int, segment_tokens: int, size: int, part_chars: int = 3_000_000):
+    """Sorted (doc_id, text) to runs of whole documents. The task's last run carries the counts
+    of all its symbols, so the frequency table takes no pass of its own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = _dtype(path)
         if (path, dtype) not in _held:
             _held[path, dtype] = ByteLevelEncoder(path, dtype)
         enc = _held[path, dtype]
-        end, width = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
         shard, seg, first = TaskContext.get().partitionId(), 0, 0
         docs, lens, parts = [], [], []
         held = 0
+        total = np.zeros(size, np.int64)
+
+        def row(last: bool = False):
+            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            at = np.flatnonzero(total) if last else total[:0]
+            cols = [[shard], [seg], [first], [docs], [lens], [b"".join(parts)], [at], [total[at]]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["shard", "seg", "first", "docs", "lens", "ids", "symbols", "counts"])
 
-        def row():
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
-            cols = [[shard], [seg], [first], [docs], [lens], [b"".join(parts)]]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["shard", "seg", "first", "docs", "lens", "ids"])
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                for i, ids in zip(batch.column(0).to_pylist(), enc.encode([t or "" for t in batch.column(1).to_pylist()])):
-                    docs.append(i)
-                    parts += (ids, end)
-                    lens.append(len(ids) // width + 1)
-                    held += lens[-1]
+        for batch in batches:
+            names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            at = 0
+            while at < len(texts):
+                to, chars = at, 0
+                while to < len(texts) and (chars < part_chars or to == at) and to - at < 2048:
+                    chars += len(texts[to])
+                    to += 1
+                ids, n = enc.encode(texts[at:to])
+                ends = np.cumsum(n)
+                ids = np.insert(ids, ends, end_id)
+                total += np.bincount(ids, minlength=size)
+                ends += np.arange(1, len(ends) + 1)
+                n += 1
+                done = 0
+                while done < len(n):  # as many documents as fill the run
+                    base = ends[done - 1] if done else 0
+                    upto = min(len(n), int(np.searchsorted(ends, base + segment_tokens - held)) + 1)
+                    docs += names[at + done : at + upto]
+                    lens += n[done:upto].tolist()
+                    parts.append(ids[base : ends[upto - 1]].tobytes())
+                    held += int(ends[upto - 1] - base)
+                    done = upto
                     if held >= segment_tokens:
                         yield row()
                         seg, first = seg + 1, first + held
                         docs, lens, parts, held = [], [], [], 0
-        if docs:
-            yield row()
-
-    return run
-
-
-def _counts(dtype: str, size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), dtype), minlength=size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["symbol", "n"])
+                at = to
+        if docs or total.any():
+            yield row(last=True)
 
     return run
 
@@ -115,18 +126,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
     """Write the ids of ``docs``, each followed by ``end_id``, as a token file set at ``path``."""
     spark, dtype = docs.sparkSession, _dtype(tokenizer)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = src.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    runs, held = stash_at(src.mapInArrow(_runs(tokenizer, end_id, segment_tokens), _RUN), "token-runs")
+    src = src.repartitionByRange(tasks_for(src), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     size = max(load_tokenizer(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1)
-    counted = runs.select("ids").mapInArrow(_counts(dtype, size), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    runs, held = stash_at(src.mapInArrow(_runs(tokenizer, end_id, segment_tokens, size), _RUN), "token-runs")
+    counted = runs.select(F.explode(F.arrays_zip("symbols", "counts")).alias("c")).groupBy("c.symbols").agg(F.sum("c.counts").alias("n"))
     counts = np.zeros(size, np.int64)
     for row in counted.collect():  # a row for each symbol of the vocabulary at most
-        counts[row["symbol"]] = row["n"]
+        counts[row["symbols"]] = row["n"]
     freq = rans.scale(counts)
     at = np.flatnonzero(freq)
     table = spark.createDataFrame(list(zip(at.tolist(), freq[at].tolist())), "symbol long, freq long")
     table.coalesce(1).write.parquet(f"{path}/table")
+    runs = runs.filter(F.size("docs") > 0).drop("symbols", "counts")
     runs.mapInArrow(_code(dtype, freq), _SEGMENT).write.option("compression", "none").parquet(f"{path}/segments")
     discard(spark, held)
 

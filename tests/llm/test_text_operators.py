@@ -53,8 +53,11 @@ def test_encoders_equal_the_library():
     byte, word = ByteLevelEncoder(BYTE, "<u2", cache_size=50), WordBPE(WORD, max_entries=50)
     tb, tw = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
     texts = [t for t in ODD if t] + noise(800)
-    for text, ids in zip(texts, byte.encode(texts)):
-        assert np.frombuffer(ids, "<u2").tolist() == tb.encode(text, add_special_tokens=False).ids
+    byte.table.limit = 40  # the table begins anew again and again
+    for k in range(0, len(texts), 7):
+        ids, n = byte.encode(texts[k : k + 7])
+        for text, own in zip(texts[k : k + 7], np.split(ids, np.cumsum(n)[:-1])):
+            assert own.tolist() == tb.encode(text, add_special_tokens=False).ids
     for text in texts:
         ids = word.encode(text).tolist()
         assert ids == tw.encode(text, add_special_tokens=False).ids
@@ -289,6 +292,43 @@ def test_one_of_each_far_prints(spark):
     assert len(kept_of_each(spark, texts)) <= len(texts) // 2 + 3  # few share no key
 
 
+def test_one_of_each_tiles_and_columns(spark):
+    """Hot keys in tiles, columns whose names clash, equal rows, rows that differ in another column only."""
+    rng = random.Random(15)
+    base = [f"w{rng.randrange(50000)}" for _ in range(200)]
+    texts = [" ".join(edited(rng, base, 2)) for _ in range(60)] + [" ".join(f"w{rng.randrange(50000)}" for _ in range(200)) for _ in range(60)]
+    rows = [(k, t, "en", 1, {"a": k}) for k, t in enumerate(texts)]
+    rows += [rows[70]] * 3 + [(71, texts[71], "de", 1, {"a": 0}), (300, texts[72], None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_k1 string, row_marked int, bitmap_word map<string,int>")
+    for tile in (8192, 16):
+        got = simhash.one_of_each(docs, tile=tile)
+        assert got.columns == docs.columns
+        assert sorted(r.doc_id for r in got.collect()) == [0, *range(60, 120)]
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n_edits, least", [(11, 0.94), (9, 0.97), (6, 0.99)])
+def test_one_of_each_recall(n_edits, least):
+    """Of pairs of a Jaccard index just above 0.80 (0.83, 0.88): the share that shares a key within the limit."""
+    rng = np.random.default_rng(n_edits)
+    met = total = 0
+    while total < 1000:
+        words = rng.integers(0, 2**63, 496).astype(np.uint64)
+        other = words.copy()
+        other[rng.choice(496, n_edits, replace=False)] = rng.integers(0, 2**63, n_edits).astype(np.uint64)
+        x, y = (simhash._mix(sum(w[k : 492 + k] * np.uint64(2 * 7919**k + 1) for k in range(5))) for w in (words, other))
+        both = len(np.intersect1d(x, y))
+        if both < 0.8 * (len(x) + len(y) - both):
+            continue
+        f = np.array([[simhash.fingerprint(h), simhash.fingerprint(simhash._mix(h))] for h in (x, y)], np.int64)
+        rows, keys = simhash.wide_keys(f[:, 0].copy(), f[:, 1].copy())
+        near = int(np.bitwise_count((f[0] ^ f[1]).view(np.uint64)).sum()) <= simhash.WIDE_LIMIT
+        met += near and len(np.intersect1d(keys[rows == 0], keys[rows == 1])) > 0
+        total += 1
+    print("recall", n_edits, met / total)
+    assert met / total >= least
+
+
 # --- decontamination, toxicity, language, secrets ------------------------------------------
 
 
