@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -67,22 +66,29 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
-class Cache:
-    """A table of two generations: what a full table holds is kept until the next one is
-    full, and what is asked for meanwhile moves on. At most 2 x ``size`` entries."""
+class _Hash:
+    """64-bit hashes of an Arrow string array without making Python strings: a random number for
+    each byte, times an odd power of its place, summed by differences of one running sum."""
 
-    def __init__(self, size: int):
-        self.size, self.new, self.old = size, {}, {}
+    def __init__(self):
+        rng = np.random.default_rng(20250)
+        self.value = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.base = rng.integers(1, 2**62, dtype=np.uint64) * np.uint64(4) + np.uint64(3)
+        self.back = np.uint64(pow(int(self.base), -1, 1 << 64))
+        self.power = self.unpower = np.empty(0, np.uint64)
 
-    def get(self, key: str) -> bytes | None:
-        if (v := self.new.get(key)) is None and (v := self.old.get(key)) is not None:
-            self.put(key, v)
-        return v
-
-    def put(self, key: str, value: bytes) -> None:
-        if len(self.new) >= self.size:
-            self.old, self.new = self.new, {}
-        self.new[key] = value
+    def __call__(self, strings: pa.Array) -> np.ndarray:
+        offset = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+        raw = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[offset[0] : offset[-1]]
+        offset = offset - offset[0]
+        if len(self.power) <= len(raw):
+            n = 2 * len(raw) + 1024
+            self.power, self.unpower = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (self.base, self.back))
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.value[raw] * self.power[: len(raw)], out=total[1:])
+        h = (total[offset[1:]] - total[offset[:-1]]) * self.unpower[offset[:-1]]
+        h ^= h >> np.uint64(32)
+        return (h * np.uint64(0x9E3779B97F4A7C15) + np.diff(offset).astype(np.uint64)).view(np.int64)
 
 
 class IdTable:
@@ -97,6 +103,9 @@ class IdTable:
         self.hash, self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
         self.pool, self.used = np.empty(1 << 20, self.dtype), 0
 
+    def full(self, more: int) -> bool:
+        return len(self.hash) + more > self.limit
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """The place of each hash, or -1."""
         if not len(self.hash):
@@ -104,21 +113,28 @@ class IdTable:
         at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
         return np.where(self.hash[at] == h, at, -1)
 
-    def add(self, h: np.ndarray, ids: list[bytes]) -> None:
-        if len(self.hash) + len(h) > self.limit:
-            self.clear()
-        new = np.frombuffer(b"".join(ids), self.dtype)
+    def add(self, h: np.ndarray, new: np.ndarray, n: np.ndarray) -> None:
+        """Keep ``new``, the ids of all strings of these hashes, ``n`` of each."""
         if self.used + len(new) > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.empty(max(len(new), self.used), self.dtype)])
         self.pool[self.used : self.used + len(new)] = new
-        size = np.fromiter(map(len, ids), np.int32, len(ids)) // self.dtype.itemsize
-        first = self.used + np.cumsum(size, dtype=np.int64) - size
+        size = n.astype(np.int32)
+        first = self.used + np.cumsum(n) - n
         self.used += len(new)
         order = np.argsort(h)
         at = np.searchsorted(self.hash, h[order])
         self.hash, self.first, self.size = (np.insert(old, at, x[order]) for old, x in ((self.hash, h), (self.first, first), (self.size, size)))
 
 
+def _gather(pool: np.ndarray, first: np.ndarray, size: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The runs of ``pool`` that ``code`` names, one after the other."""
+    n = size[code]
+    ends = np.cumsum(n)
+    place = np.repeat(first[code] - (ends - n), n)
+    place += np.arange(len(place))
+    return pool[place]
+
+
 class ByteLevelEncoder:
     """Ids of whole texts under a byte-level vocabulary file of the tokenizers library.
 
@@ -128,35 +144,43 @@ class ByteLevelEncoder:
     Texts with a space beside more white space go to the library whole.
     """
 
-    def __init__(self, path: str, dtype: str, cache_size: int = 200_000):
-        self.dtype, self.code = np.dtype(dtype), {"<u2": "H", "<u4": "I"}[dtype]  # little-endian machines, as Arrow's
+    def __init__(self, path: str, dtype: str, limit: int = 2_000_000):
+        self.dtype = np.dtype(dtype)  # little-endian machines, as Arrow's
         self.tok = load_tokenizer(path)
         self.special = special_strings(self.tok)
-        self.chars = byte_chars()
-        self.pieces = Cache(cache_size)
-        self.table = IdTable(self.dtype)
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _piece(self, key: str, piece: str) -> bytes:
-        if (ids := self.pieces.get(key)) is None:
-            plain = piece[0] == " " and piece.isascii() and (rest := piece[1:]).isprintable() and " " not in rest
-            shown = "Ġ" + rest if plain else "".join([self.chars[b] for b in piece.encode()])
-            ids = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
-            self.pieces.put(key, ids)
-        return ids
-
-    def _learn(self, chunk: str) -> bytes:
-        """The ids of a chunk behind one space. Pre-tokens are kept under their text behind the
-        space, or under a mark of their own if they have none before them."""
-        if len(chunk) > LONG or UNSAFE.search(chunk):
-            return self._library([" " + chunk])[0]
-        if chunk.isalpha():
-            return self._piece(chunk, " " + chunk)
-        if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
-            return self._piece(chunk[:-1], " " + chunk[:-1]) + self._piece("\0" + chunk[-1], chunk[-1])
-        return b"".join([self._piece(p[1:] if p[0] == " " and len(p) > 1 else "\0" + p, p) for p in BYTE_LEVEL.findall(" " + chunk)])
+        self.shown = dict(enumerate(byte_chars()))
+        self.table, self.hash = IdTable(self.dtype, limit), _Hash()
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of chunks behind one space: the library's model merges each
+        distinct pre-token of theirs once."""
+        pieces: dict[str, int] = {}
+        code, n, whole = [], [], []
+        for c in chunks:
+            if len(c) > LONG or UNSAFE.search(c):
+                own = ["\0" + c]  # the library takes it as it stands
+            elif c.isalpha():
+                own = [" " + c]
+            elif c[:-1].isalpha() and c[-1] in ".,;:!?":
+                own = [" " + c[:-1], c[-1]]
+            else:
+                own = BYTE_LEVEL.findall(" " + c)
+            code += [pieces.setdefault(p, len(pieces)) for p in own]
+            n.append(len(own))
+        tokenize, shown = self.tok.model.tokenize, self.shown
+        for p in pieces:
+            if p[0] == "\0" and len(p) > 1:
+                whole.append(self._library([" " + p[1:]])[0])
+            elif p[0] == " " and p.isascii() and (rest := p[1:]).isprintable() and " " not in rest:
+                whole.append([t.id for t in tokenize("Ġ" + rest)])
+            else:
+                whole.append([t.id for t in tokenize(p.encode().decode("latin-1").translate(shown))])
+        size = np.fromiter(map(len, whole), np.int64, len(whole))
+        flat = np.fromiter((i for ids in whole for i in ids), self.dtype, int(size.sum()))
+        return _gather(flat, np.cumsum(size) - size, size, np.array(code, np.int64)), np.add.reduceat(size[code], np.cumsum(n) - n)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text)."""
@@ -173,8 +197,8 @@ class ByteLevelEncoder:
         start = cut.offsets.to_numpy()
         chunks = cut.values.dictionary_encode()
         code = chunks.indices.to_numpy().copy()
-        words = chunks.dictionary.to_pylist()
-        h = np.fromiter(map(hash, words), np.int64, len(words))
+        words = chunks.dictionary
+        h = self.hash(words)
         new = np.flatnonzero(self.table.find(h) < 0)
         # a text's first chunk has no space before it; whole texts of the library come last
         heads = cut.values.take(pa.array(start[:-1])).dictionary_encode()
@@ -184,16 +208,13 @@ class ByteLevelEncoder:
             code[start[:-1][hard]] = np.arange(len(hard)) + len(words) + len(own)
             own += self._library([texts[i] for i in hard])
         if len(new):
-            self.table.add(h[new], [self._learn(words[k]) for k in new.tolist()])
-            if (self.table.find(h) < 0).any():  # the table began anew
-                new = np.flatnonzero(self.table.find(h) < 0)
-                self.table.add(h[new], [self._learn(words[k]) for k in new.tolist()])
+            if self.table.full(len(new)):  # begins anew with the chunks of these texts
+                self.table.clear()
+                new = np.arange(len(words))
+            self.table.add(h[new], *self._learn(words.take(pa.array(new)).to_pylist()))
         table, at = self.table, self.table.find(h)
-        pool = np.concatenate([np.frombuffer(b"".join(own), self.dtype), table.pool[: table.used]])
-        size = np.fromiter(map(len, own), np.int64, len(own)) // self.dtype.itemsize
+        pool = np.concatenate([*own, table.pool[: table.used]])
+        size = np.fromiter(map(len, own), np.int64, len(own))
         first = np.concatenate([table.first[at] + len(pool) - table.used, np.cumsum(size) - size])
-        n = np.concatenate([table.size[at], size])[code]
-        ends = np.cumsum(n)
-        place = np.repeat(first[code] - (ends - n), n)
-        place += np.arange(len(place))
-        return pool[place], np.add.reduceat(n, start[:-1])
+        size = np.concatenate([table.size[at], size])
+        return _gather(pool, first, size, code), np.add.reduceat(size[code], start[:-1])

@@ -44,7 +44,7 @@ def _dtype(path: str) -> str:
     return "<u2" if load_tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
 
-def _runs(path: str, end_id: int, segment_tokens: int, size: int, part_chars: int = 3_000_000):
+def _runs(path: str, end_id: int, segment_tokens: int, size: int, part_chars: int = 6_000_000):
     """Sorted (doc_id, text) to runs of whole documents. The task's last run carries the counts
     of all its symbols, so the frequency table takes no pass of its own."""
 
@@ -69,7 +69,7 @@ def _runs(path: str, end_id: int, segment_tokens: int, size: int, part_chars: in
             at = 0
             while at < len(texts):
                 to, chars = at, 0
-                while to < len(texts) and (chars < part_chars or to == at) and to - at < 2048:
+                while to < len(texts) and (chars < part_chars or to == at) and to - at < 4096:
                     chars += len(texts[to])
                     to += 1
                 ids, n = enc.encode(texts[at:to])
