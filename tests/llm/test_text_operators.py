@@ -476,6 +476,73 @@ def test_secrets_upper_case_and_in_paths(spark):
     assert got[4] == f"random:8:{11 + len(keys[3])}" and got[5] == ""  # with the path's v1/, which fits base64
 
 
+def test_secret_statistics(spark):
+    """The battery's numbers against plain ones."""
+    import math
+
+    rng = random.Random(4)
+    alphabets = secrets.ALPHABETS
+    made = {e: ["".join(rng.choice(a) for _ in range(n)) for n in (12, 19, 40, 300)] for e, a in alphabets.items()}
+    tokens = [t for own in made.values() for t in own] + ["thththththththththththththth1", "a" * 20, "12345678901234567890", "Ab" * 5 + "1" * 9]
+    table = spark.createDataFrame([(t,) for t in tokens], "token string")
+    seen = {}
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    for r in secrets._tests(table).collect():
+        a = alphabets[r.encoding]
+        x, n, k = [a.index(c) for c in r.token], len(r.token), len(a)
+        chi = k * sum(r.token.count(c) ** 2 for c in a) / n - n
+        assert r.z_uniform == pytest.approx((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (1 - 1 / n)))
+        n1, mean = sum(2 * v >= k for v in x), sum(x) / n
+        runs = 1 + sum((2 * p >= k) != (2 * q >= k) for p, q in zip(x, x[1:]))
+        spread = 2 * n1 * (n - n1) * (2 * n1 * (n - n1) - n) / (n * n * (n - 1))
+        z_runs = (runs - 2 * n1 * (n - n1) / n - 1) / math.sqrt(spread) if spread > 0 else 99
+        var = sum((v - mean) ** 2 for v in x)
+        z_serial = sum((p - mean) * (q - mean) for p, q in zip(x, x[1:])) / var * math.sqrt(n) if var else 99
+        assert (r.z_runs, r.z_serial) == pytest.approx((z_runs, z_serial))
+        p = [max(1e-300, v) for v in (tail(r.z_uniform) if r.z_uniform > 0 else 1, 2 * tail(abs(z_runs)), 2 * tail(abs(z_serial)))]
+        half = -sum(map(math.log, p))
+        assert r.p_random == pytest.approx(math.exp(-half) * (1 + half + half * half / 2), rel=0.1, abs=1e-4)
+        ic, skew = (secrets.HEX_IC, secrets.HEX_SKEW) if k == 16 else (secrets.TEXT_IC, secrets.TEXT_SKEW)
+        z = (chi - (k * ((n - 1) * ic + 1) - n)) / math.sqrt(2 * (k - 1) + 4 * n * k * k * skew)
+        assert r.log_p == pytest.approx(-math.log10(tail(-z)) if z < 0 else 0.0, abs=0.01)
+        seen[r.token] = r
+    assert set(seen) == set(tokens) - {"12345678901234567890"}
+    for e, own in made.items():
+        assert all(seen[t].encoding == e for t in own[3:]), e
+    assert seen[tokens[-4]].p_random < 1e-3 and seen["a" * 20].p_random < 1e-3
+    assert all(seen[t].p_random > 1e-3 for own in made.values() for t in own)
+
+
+def test_secret_thresholds(spark):
+    """The limits of the false-discovery control against a plain step-up rule over the same bins."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("eeeettaaooiinnsshhrrdlucm") for _ in range(n)) for n in range(12, 40) for _ in range(30)]
+    keys = ["".join(rng.choice(secrets.ALPHABETS["lower"]) for _ in range(n)) for n in (200, 300, 36, 14)]
+    mixed = ["".join(rng.choice(secrets.ALPHABETS["base62"]) for _ in range(n)) for n in (13, 18, 24, 40, 64)]
+    table = spark.createDataFrame([(t,) for t in words + keys + mixed], "token string")
+    rows = secrets._tests(table).collect()
+    want = set()
+    for family in {(r.encoding, min(12, int(r.n // 8))) for r in rows}:
+        own = [(int(min(40, r.log_p) * 8), r.p_random >= 1e-3, r.token) for r in rows if (r.encoding, min(12, int(r.n // 8))) == family]
+        bins = [b for b, _, _ in own if 10 ** (-b / 8) * len(own) <= 0.01 * sum(ok and c >= b for c, ok, _ in own)]
+        want |= {t for b, ok, t in own if ok and bins and b >= min(bins)}
+    got = {r.token for r in secrets.random_tokens(table).collect()}
+    assert got == want and keys[0] in got and mixed[3] in got and not got & set(words)
+
+
+def test_secrets_in_long_texts(spark):
+    """A long token, a long text with many matches, and kept columns of any name."""
+    rng = random.Random(6)
+    image = "".join(rng.choice(secrets.ALPHABETS["base64"]) for _ in range(200_000))
+    many = " ".join(f"key{k} {'%032x' % rng.getrandbits(128)}" for k in range(3000))
+    docs = spark.createDataFrame([(1, f"x {image} y", "t"), (2, many, "u")], "doc_id long, text string, tokens string")
+    got = {r.doc_id: r for r in secrets.secret_spans(docs, keep=("tokens",)).collect()}
+    assert [(s.start, s.end) for s in got[1].base + got[1].added if s.end - s.start > 10**5] == [(2, 2 + len(image))] and got[1].tokens == "t"
+    assert [(s.start, s.end, s.kind) for s in got[2].base] == [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]{32,}", many)]
+    with pytest.raises(ValueError):
+        secrets.secret_spans(docs.withColumn("base", F.lit(1)), keep=("base",))
+
+
 def test_secret_query(spark, docs):
     found = {r.doc_id: r for r in queries()["op2_secrets"](spark, SF).collect()}
     for r in docs.collect():
