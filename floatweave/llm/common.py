@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -111,3 +111,11 @@ def may_hold(df: DataFrame, key: str, bitmap: DataFrame, slots: int, name: str =
     joined = df.join(words, F.shiftright(at, 6).cast("int") == F.col(word), "left")
     bit = F.call_function("shiftright", F.coalesce(bits, F.lit(0).cast("long")), F.pmod(at, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
     return joined.withColumn(name, bit == 1).drop(word, bits)
+
+
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """128 bits that stand for a row: its id, its text and all else in it."""
+    plain = {"boolean", "byte", "short", "integer", "long", "float", "double", "string", "binary", "date", "timestamp"}
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    rest = [F.col(f"`{c}`") if docs.schema[c].dataType.typeName() in plain else F.to_json(F.struct(F.col(f"`{c}`"))) for c in rest]
+    return F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col), *rest), F.xxhash64(F.lit(2), F.col(text_col), F.col(id_col), *rest)

@@ -12,9 +12,12 @@ filters). An n-gram enters a language's filter if its rate there is at least
 ``min_share`` of its largest rate over the languages, so that foreign words in
 a language's documents don't enter its filter.
 
-Cases: a null text or one with no letter gets ``und`` and score 0; ties go to
-the language first in alphabetical order; null labels are not learned from; a
-training set without labels predicts ``und`` for every text.
+Cases: a null or empty text or one with no letter gets ``und`` and score 0; ties
+go to the language first in alphabetical order; null labels are not learned from;
+a training set without labels predicts ``und`` for every text; null ids are kept;
+repeated rows each get their row; all n-grams of a very long text count; more than
+64 languages take several masks; extra columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 N = 4  # characters of an n-gram
@@ -75,24 +78,22 @@ def _classes(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Filters:
-    """The bit-sliced filter: ``slots[i]`` has a bit for each language."""
+    """The bit-sliced filter: ``slots[w][i]`` has a bit for each language of the w-th 64."""
 
     languages: list[str]
-    slots: np.ndarray
+    slots: list[np.ndarray]
+    slot_bits: int
     false_rate: np.ndarray
 
-    def masks(self, h: np.ndarray) -> np.ndarray:
-        bits = np.uint64(int(len(self.slots)).bit_length() - 1)
-        a = (h >> (np.uint64(64) - bits)).astype(np.int64)
-        b = ((h * _MIX[1]) >> (np.uint64(64) - bits)).astype(np.int64)
-        return self.slots[a] & self.slots[b]
+    def masks(self, h: np.ndarray) -> list[np.ndarray]:
+        rest = np.uint64(64 - self.slot_bits)
+        a, b = (h >> rest).astype(np.int64), ((h * _MIX[1]) >> rest).astype(np.int64)
+        return [s[a] & s[b] for s in self.slots]
 
 
 def fit(samples: dict[str, list[str]], slot_bits: int = 20, min_share: float = 0.35) -> Filters:
-    """Filters from texts by language; at most 64 languages."""
+    """Filters from texts by language."""
     languages = sorted(samples)
-    if len(languages) > 64:
-        raise ValueError("a mask has 64 bits")
     grams, rates = [], []
     for lang in languages:
         h = np.concatenate([*(ngram_hashes(samples[lang][i : i + 500])[0] for i in range(0, len(samples[lang]), 500)), np.empty(0, np.uint64)])
@@ -104,14 +105,15 @@ def fit(samples: dict[str, list[str]], slot_bits: int = 20, min_share: float = 0
     for g, r in zip(grams, rates):
         at = np.searchsorted(every, g)
         best[at] = np.maximum(best[at], r)
-    dtype = next(d for d, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= n)
-    found = Filters(languages, np.zeros(1 << slot_bits, dtype), np.zeros(len(languages)))
+    dtype = next(d for d, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= n or n == 64)
+    found = Filters(languages, [np.zeros(1 << slot_bits, dtype) for _ in range(-(-len(languages) // 64))], slot_bits, np.zeros(len(languages)))
     bits = np.uint64(slot_bits)
     for k, (g, r) in enumerate(zip(grams, rates)):
         own = g[r >= min_share * best[np.searchsorted(every, g)]]
+        slots, bit = found.slots[k // 64], dtype(1 << k % 64)
         for h in (own, own * _MIX[1]):
-            found.slots[(h >> (np.uint64(64) - bits)).astype(np.int64)] |= dtype(1 << k)
-        fill = np.count_nonzero(found.slots & dtype(1 << k)) / len(found.slots)
+            slots[(h >> (np.uint64(64) - bits)).astype(np.int64)] |= bit
+        fill = np.count_nonzero(slots & bit) / len(slots)
         found.false_rate[k] = fill**2
     return found
 
@@ -121,11 +123,12 @@ def predict(filters: Filters, texts: list[str]) -> tuple[list[str], np.ndarray]:
     if not filters.languages:
         return ["und"] * len(texts), np.zeros(len(texts))
     h, starts, has = ngram_hashes(texts)
-    mask = filters.masks(h)
+    masks = filters.masks(h)
     n = np.diff(starts)
     share = np.zeros((len(texts), len(filters.languages)))
     for k, rate in enumerate(filters.false_rate):
-        hit = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(k)) & mask.dtype.type(1), dtype=np.int64)])
+        mask = masks[k // 64]
+        hit = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(k % 64)) & mask.dtype.type(1), dtype=np.int64)])
         count = hit[starts[1:]] - hit[starts[:-1]]
         share[:, k] = np.clip((count - n * rate) / np.maximum(1, n) / (1 - rate), 0, 1)
     best = share.argmax(1)
@@ -137,19 +140,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on a bounded sample: of each language the ``max_docs`` documents with the
     smallest hash of id, and of those as many as fit ``max_chars`` characters."""
     src = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
-    # the sample's bound is by hash: a first pass counts, so that a filter of about max_docs rows reaches the driver
+    # two passes whatever the number of languages: one counts, so that of each language some
+    # max_docs rows by hash are left to the other, which ranks and hands over that bounded sample
     per = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    samples: dict[str, list[str]] = {}
-    for lang in sorted(per):
-        share = min(1.0, 1.5 * max_docs / per[lang])
-        own = src.filter(F.col("lang") == lang).withColumn("h", F.xxhash64("id", F.xxhash64("text")))
-        cut = own.filter(F.pmod("h", F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy("h", "text").limit(max_docs)
-        texts, room = [], max_chars // max(1, len(per))
-        for r in cut.select("text").toLocalIterator():
-            if len(r["text"]) <= room:
-                texts.append(r["text"])
-                room -= len(r["text"])
-        samples[lang] = texts
+    samples: dict[str, list[str]] = {lang: [] for lang in sorted(per)}
+    if not per:
+        return fit(samples)
+    room = dict.fromkeys(per, max_chars // len(per))
+    shares = docs.sparkSession.createDataFrame([(lang, int(min(1.0, 1.5 * max_docs / n) * (1 << 30))) for lang, n in per.items()], "lang string, share long")
+    own = src.join(F.broadcast(shares), "lang").withColumn("h", F.xxhash64("id", F.xxhash64("text")))
+    own = own.filter((F.pmod("h", F.lit(1 << 30)) <= F.col("share")) & (F.length("text") <= max_chars // len(per)))
+    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("rank") <= max_docs)
+    for r in ranked.select("lang", "text").orderBy("lang", "rank").toLocalIterator():
+        if len(r["text"]) <= room[r["lang"]]:
+            samples[r["lang"]].append(r["text"])
+            room[r["lang"]] -= len(r["text"])
     return fit(samples)
 
 

@@ -30,11 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import discard, free_name, marked_keys, may_hold, settle, stash, stash_at
+from .common import discard, free_name, marked_keys, may_hold, row_key, settle, stash, stash_at
 from .components import connected_components
 
 BITS, LIMIT = 64, 4
@@ -508,14 +508,6 @@ def _edges_between(links: DataFrame, groups: DataFrame, parts: DataFrame, sets:
     return near.join(sets, "uid").select("key", "uid", "part", "f0", "f1", "hashes").repartition("key").sortWithinPartitions("key").mapInArrow(_joined(WIDE_LIMIT, similarity), "a long, b long")
 
 
-def _row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
-    """128 bits that stand for a row: its id, its text and all else in it."""
-    plain = {"boolean", "byte", "short", "integer", "long", "float", "double", "string", "binary", "date", "timestamp"}
-    rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    rest = [F.col(f"`{c}`") if docs.schema[c].dataType.typeName() in plain else F.to_json(F.struct(F.col(f"`{c}`"))) for c in rest]
-    return F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col), *rest), F.xxhash64(F.lit(2), F.col(text_col), F.col(id_col), *rest)
-
-
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tile: int = 8192) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each connected group of texts whose
     shingle sets have a Jaccard index of at least ``similarity`` (0.8 or more), the row with
@@ -533,7 +525,7 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col
         raise ValueError("the candidates are calibrated for 0.8 and more")
     spark = docs.sparkSession
     names, flag = [free_name(docs, n) for n in ("row_k1", "row_k2")], free_name(docs, "row_marked")
-    marked = docs.withColumns(dict(zip(names, _row_key(docs, id_col, text_col))))
+    marked = docs.withColumns(dict(zip(names, row_key(docs, id_col, text_col))))
     src = marked.select(F.col(id_col).cast("long").alias("doc_id"), F.col(names[0]).alias("k1"), F.col(names[1]).alias("k2"), F.col(text_col).alias("text"))
     schema = "doc_id long, k1 long, k2 long, f0 long, f1 long, s0 long, s1 long, n long"
     prints = stash(src.mapInArrow(_wide_prints(width), schema), "wide-prints")

@@ -357,22 +357,50 @@ def test_tiling():
         assert sum(t[2] for t in decontaminate.tile(item, text, 3)) == brute_tiles(item, text, 3)
 
 
-@pytest.mark.parametrize("block_words", [2_000_000, 8])
-def test_contamination(spark, odd, block_words):
+def test_contamination(spark, odd):
     one = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     two = "eins zwei drei vier fünf sechs sieben acht neun zehn"
     bench = spark.createDataFrame([(1, one), (2, two), (3, "too short"), (4, None)], "item_id long, text string")
     moved = "zeta eta theta iota kappa lambda mu. Alpha, beta gamma DELTA epsilon"
     texts = [(0, f"start {one} end"), (1, f"x {moved} y"), (2, "alpha beta gamma delta epsilon"), (3, f"{two} and {one}"), (None, two), (5, None), (6, "too short")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    got = {(r.doc_id, r.item_id): (round(r.coverage, 3), r.n_tiles) for r in decontaminate.contamination(docs, bench, block_words=block_words).collect()}
-    assert got == {(0, 1): (1.0, 1), (1, 1): (1.0, 2), (3, 1): (1.0, 1), (3, 2): (1.0, 1), (None, 2): (1.0, 1)}
-    kept = decontaminate.without_leaks(docs, bench, block_words=block_words).collect()
-    assert sorted(r.doc_id for r in kept) == [2, 5, 6]
+    got = {(r.doc_id, r.item_id): (round(r.coverage, 3), r.n_tiles) for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {(0, 1): (1.0, 1), (1, 1): (1.0, 2), (3, 1): (1.0, 1), (3, 2): (1.0, 1), (None, 2): (1.0, 1), (6, 3): (1.0, 1)}
+    kept = decontaminate.without_leaks(docs, bench).collect()
+    assert sorted(r.doc_id for r in kept) == [2, 5]
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
     assert decontaminate.contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_contamination_by_brute_force(spark):
+    """Every document with every item, without seeds, bitmaps or joins; repeated rows and clashing columns."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(12)}"
+    items = [[word() for _ in range(rng.randrange(1, 16))] for _ in range(25)]
+    texts = []
+    for _ in range(60):
+        own = [f"x{rng.randrange(900)}" for _ in range(rng.randrange(0, 20))]
+        for item in rng.sample(items, 2):
+            cut = rng.randrange(len(item) + 1)
+            at = rng.randrange(len(own) + 1)
+            own[at:at] = item[cut:] + item[:cut] * rng.choice([0, 1, 1])
+        texts.append(own)
+    texts.append(texts[0])
+    docs = spark.createDataFrame([(k % 60, " ".join(t), 7, "a") for k, t in enumerate(texts)], "doc_id long, text string, row_k1 int, item string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    want = []
+    for k, t in enumerate(texts):
+        for i, item in enumerate(items):
+            part = brute_tiles(item, t, min(5, len(item))) / len(item)
+            if part >= 0.8:
+                want.append((k % 60, i, round(part, 9)))
+    got = sorted((r.doc_id, r.item_id, round(r.coverage, 9)) for r in decontaminate.contamination(docs, bench).collect())
+    assert got == sorted(want) and len({d for d, _, _ in want}) < 60
+    kept = decontaminate.without_leaks(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(range(60)) - {d for d, _, _ in want})
+
+
 def test_marginals():
     import itertools
 
@@ -438,6 +466,38 @@ def test_language(spark, odd):
     assert {r.lang_pred for r in language_id.language_id(odd, empty).collect()} == {"und"}
 
 
+def test_language_by_brute_force(spark):
+    """Predictions against plain sets of n-grams, for more languages than one mask has bits."""
+    rng = random.Random(8)
+    langs = [f"l{k:03d}" for k in range(70)]
+    letters = {lang: rng.sample("abcdefghijklmnopqrstuvwxyzäöüßéèêçñåø", 12) for lang in langs}
+    make = lambda lang, n=30: " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    samples = {lang: [make(lang) for _ in range(8)] for lang in langs}
+    filters = language_id.fit(samples, slot_bits=22)
+    grams = lambda t: [g for g in ((" " + t + "   ")[k : k + 4] for k in range(len(t) + 1))]
+    count = {lang: {} for lang in langs}
+    for lang in langs:
+        for t in samples[lang]:
+            for g in grams(t)[: len(t) - 1]:
+                count[lang][g] = count[lang].get(g, 0) + 1
+    total = {lang: sum(count[lang].values()) for lang in langs}
+    best = {}
+    for lang in langs:
+        for g, n in count[lang].items():
+            best[g] = max(best.get(g, 0), n / total[lang])
+    keep = {lang: {g for g, n in count[lang].items() if n / total[lang] >= 0.35 * best[g]} for lang in langs}
+    texts = [make(lang) for lang in langs] + ["12 3", None, ""]
+    got, _ = language_id.predict(filters, texts)
+    for t, found in zip(texts[:70], got):
+        share = {lang: sum(g in keep[lang] for g in grams(t)[: len(t) - 1]) for lang in langs}
+        assert share[found] >= max(share.values()) - 1
+    assert got[70:] == ["und"] * 3
+    docs = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate((lang, t) for lang in langs for t in samples[lang])], "doc_id long, text string, lang string")
+    trained = language_id.train(docs)
+    assert trained.languages == langs and len(trained.slots) == 2
+    assert language_id.predict(trained, texts[:70])[0] == got[:70]
+
+
 def test_language_held_out(spark, docs):
     found = queries()["op9_language_id"](spark, SF).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")
     assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
