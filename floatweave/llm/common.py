@@ -80,16 +80,16 @@ def settle(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def marked_keys(keys: DataFrame, key: str, most: int = 1 << 26) -> tuple[DataFrame, int]:
+def marked_keys(keys: DataFrame, key: str, per_key: int = 16, most: int = 1 << 26) -> tuple[DataFrame, int]:
     """(word, bits), a bitmap of the longs in ``key``, and its number of slots.
 
     A Bloom filter of one hash, made and asked by DataFrame operations: ``may_hold`` joins it
     to a table, which so parts into rows that certainly have no partner and rows that may.
-    It has some 16 slots a key, and at most ``most`` slots, that is a row for each 64: its
+    It has some ``per_key`` slots a key, and at most ``most`` slots, that is a row for each 64: its
     broadcast is bounded whatever the data; beyond that more rows are sent the exact way.
     """
     n = keys.count()
-    slots = min(most, max(1 << 12, 1 << (16 * n).bit_length()))
+    slots = min(most, max(1 << 12, 1 << (per_key * n).bit_length()))
     at = F.pmod(F.col(key), F.lit(slots))
     one = keys.select(F.shiftright(at, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("bit"))
     return stash(one.groupBy("word").agg(F.bit_or("bit").alias("bits")), "marked-keys"), slots

@@ -222,7 +222,7 @@ def _leaks(src: DataFrame, benchmark: DataFrame, item_col: str, item_text: str,
     items = stash(own.mapInArrow(_items(min_words), "item long, item_id long, ids array<long>, seeds array<long>, n int"), "items")
     lengths = sorted(r["n"] for r in items.select("n").distinct().collect()) or [min_words]  # min_words at most
     seeds = items.select("item", F.explode("seeds").alias("seed"))
-    marked, slots = marked_keys(seeds.select("seed"), "seed")
+    marked, slots = marked_keys(seeds.select("seed"), "seed", per_key=1 << 12)  # a text asks for hundreds
     bits = np.zeros(slots >> 6, np.uint64)
     table = marked.toArrow()  # a row for each 64 slots at most
     bits[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
