@@ -101,7 +101,9 @@ class Alp:
 
     def encode(self, values) -> bytes:
         v = np.ascontiguousarray(values, np.float64)
-        candidates, _ = choose(v) if len(v) else ([], False)
+        return self._encode(v, choose(v)[0] if len(v) else [])
+
+    def _encode(self, v: np.ndarray, candidates: list[tuple[int, int]]) -> bytes:
         out = [struct.pack("<I", len(v))]
         for k in range(0, len(v), VECTOR):
             one = v[k : k + VECTOR]
@@ -175,3 +177,35 @@ class AlpRd:
         (bad,) = struct.unpack_from("<I", data, at)
         left[np.frombuffer(data, "<u4", bad, at + 4)] = np.frombuffer(data, "<u2", bad, at + 4 + 4 * bad)
         return (left << np.uint64(right) | low).view(np.float64)
+
+
+class AlpChosen:
+    """The form that the first-level sample of a row group asks for: decimal, or in two parts. One byte says which."""
+
+    name, block, dtype = "alp_chosen", VECTOR * GROUP, "f8"
+
+    def encode(self, values) -> bytes:
+        v = np.ascontiguousarray(values, np.float64)
+        candidates, two_part = choose(v) if len(v) else ([], False)
+        return b"\1" + AlpRd().encode(v) if two_part else b"\0" + Alp()._encode(v, candidates)
+
+    def decode(self, data: bytes, n: int | None = None) -> np.ndarray:
+        return (AlpRd() if data[0] else Alp()).decode(data[1:], n)
+
+
+class AlpLocal:
+    """Vectors of 1000, each with a pair of its own and a mode of its own: where over a fifth of the
+    values would be exceptions the vector takes the two-part form."""
+
+    name, block, dtype = "alp_local", 1000, "f8"
+
+    def encode(self, values) -> bytes:
+        v = np.ascontiguousarray(values, np.float64)
+        if not len(v):
+            return b"\0" + Alp().encode(v)
+        e, f, _ = best_pair(v[:: max(1, len(v) // SAMPLES)][:SAMPLES])
+        exceptions = int((~scaled(v, e, f)[1]).sum())
+        return b"\1" + AlpRd().encode(v) if 5 * exceptions > len(v) else b"\0" + Alp()._encode(v, [(e, f)])
+
+    def decode(self, data: bytes, n: int | None = None) -> np.ndarray:
+        return (AlpRd() if data[0] else Alp()).decode(data[1:], n)

@@ -31,7 +31,7 @@ def decimal_places(v: np.ndarray, form: dict) -> tuple[np.ndarray, np.ndarray]:
     limit = 15 if kind is np.float64 else 7
     with np.errstate(all="ignore"):
         size = np.abs(v)
-        sp = np.where((v == 0) | ~np.isfinite(v), -99, np.floor(np.log10(np.where(size == 0, 1, size)))).astype(np.int64)
+        sp = np.where((v == 0) | ~np.isfinite(v), -99, np.floor(np.log10(np.where(size == 0, 1, size).astype(np.float64)))).astype(np.int64)
         places = np.full(v.shape, -1)
         top = 16 if limit == 15 else 9
         for d in range(top + 1):

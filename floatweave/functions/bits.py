@@ -35,6 +35,22 @@ def wrapping_subtract(a: Column, b: Column) -> Column:
     return add(add(a, F.bitwise_not(b)), F.lit(1).cast("long"))
 
 
+def float_bits(v: Column) -> Column:
+    """The IEEE 754 bits of a float as an int."""
+    return F.reflect(F.lit("java.lang.Float"), F.lit("floatToRawIntBits"), v).cast("int")
+
+
+def unsign_last(x: Column) -> Column:
+    """The bits of ``sign_last``."""
+    sign = x.bitwiseAND(F.lit(1).cast("long"))
+    return F.shiftrightunsigned(x.bitwiseXOR(-sign), 1).bitwiseOR(F.shiftleft(sign, 63))
+
+
+def wrap_32(x: Column) -> Column:
+    """A long as the signed 32-bit integer of its low bits, still a long."""
+    return F.pmod(x + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
+
+
 def bit_width(x: Column) -> Column:
     """Bits that an unsigned long takes, one for zero."""
     return F.length(F.bin(x))

@@ -22,8 +22,13 @@ def power_of_ten(n: Column) -> Column:
 
 
 def start_position(v: Column) -> Column:
-    """The decimal exponent of the first digit; null for zero."""
-    return F.floor(F.log10(F.nullif(F.abs(v), F.lit(0.0)))).cast("int")
+    """The decimal exponent of the first digit; null for zero and what is not finite."""
+    return F.when((v != 0) & (F.abs(v) < float("inf")), F.floor(F.log10(F.abs(v)))).cast("int")
+
+
+def is_negative_zero(v: Column) -> Column:
+    """Told by its text: comparisons and even atan2 take it for zero."""
+    return (v == 0) & (v.cast("string") == "-0.0")
 
 
 def decimal_places(v: Column) -> Column:
@@ -50,7 +55,7 @@ def tried_places(v: Column) -> Column:
 def checked_places(v: Column, tried: Column) -> Column:
     """``tried`` where it divides back to ``v``, else NOT_DECIMAL."""
     p = power_of_ten(tried)
-    special = F.isnan(v) | (F.abs(v) == float("inf")) | ((v == 0) & (F.atan2(v, F.lit(-1.0)) < 0))
+    special = F.isnan(v) | (F.abs(v) == float("inf")) | is_negative_zero(v)
     return F.when(special, F.lit(NOT_DECIMAL)).otherwise(F.when(half_away(v * p) / p == v, tried).otherwise(F.lit(NOT_DECIMAL)))
 
 
@@ -90,10 +95,87 @@ def text_significant_digits(s: Column) -> Column:
 
 
 def significant_figures(v: Column, figures: int) -> Column:
-    """``v`` with so many significant digits, halves of the written digits away from zero."""
-    places = F.lit(figures - 1) - start_position(v)
-    exact = v.cast("decimal(38,18)")
-    out = F.lit(None).cast("double")
-    for d in range(-20, 19):
-        out = F.when(places == d, F.round(exact, d).cast("double")).otherwise(out)
-    return F.when(v == 0, F.lit(0.0)).otherwise(out)
+    """``v`` with so many significant digits, halves of the written digits away from zero; NaN and
+    infinities as they are."""
+    if figures < 1:
+        raise ValueError("at least one digit")
+    cut = F.format_string(f"%.{figures - 1}e", v).cast("double")
+    return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")) | (v == 0), v).otherwise(cut)
+
+
+def round_up(v: Column, places: Column) -> Column:
+    """``v`` rounded away from zero to the decimal places (0 to 16)."""
+    p = power_of_ten(places)
+    t = v * p
+    return F.when(t < 0, F.floor(t)).otherwise(F.ceil(t)).cast("double") / p
+
+
+def fraction_bits(places: Column) -> Column:
+    """The binary places that show the decimal ones: ceil(places * log2(10))."""
+    return F.ceil(places * F.lit(3.321928094887362)).cast("int")
+
+
+def exact_start(v: Column) -> Column:
+    """The decimal exponent of the first digit, exact at powers of ten from 1e-16 to 1e16; null for zero."""
+    powers, size = F.array(*(F.lit(float(f"1e{d}")) for d in range(-17, 19))), F.abs(v)
+    power = lambda n: F.element_at(powers, F.greatest(F.lit(-17), F.least(F.lit(18), n)) + 18)
+    settle = lambda k: F.when((k < 17) & (power(k + 1) <= size), k + 1).when((k > -17) & (power(k) > size), k - 1).otherwise(k)
+    return F.transform(F.array(start_position(v)), settle)[0]
+
+
+def is_power_of_ten(v: Column) -> Column:
+    """Whether |v| is a power of ten from 1e-16 to 1e16, as its nearest double."""
+    return F.coalesce(F.array_contains(F.array(*(F.lit(float(f"1e{d}")) for d in range(-16, 17))), F.abs(v)), F.lit(False))
+
+
+def significant_count(v: Column) -> Column:
+    """Significant digits of ``v``: from its first digit to its last decimal place; 0 for a power of
+    ten below one, 17 if no 17 digits show it, null for zero and what is not finite."""
+    size = F.abs(v)
+    powers = F.array(*(F.lit(float(f"1e{d}")) for d in range(34)))
+
+    def fits(d: Column) -> Column:
+        t = size * F.element_at(powers, d + 1)
+        return (t == F.rint(t)) & (t / F.element_at(powers, d + 1) == size)
+
+    def count(sp: Column) -> Column:
+        places = F.filter(F.sequence(F.greatest(F.lit(0), -sp), F.greatest(F.lit(0), F.least(F.lit(33), 16 - sp))), fits)
+        return F.coalesce(sp + F.try_element_at(places, F.lit(1)) + 1, F.lit(17))
+
+    digits = F.transform(F.array(exact_start(v)), count)[0]  # as an array's element the exponent is found once
+    finite = (v != 0) & ~F.isnan(v) & (size != float("inf"))
+    return F.when(finite, F.when((size < 1) & is_power_of_ten(v), 0).otherwise(digits))
+
+
+# fixed values of the 32-bit format
+NOT_DECIMAL_32, MAX_DIGITS_32, MAGIC_32, ULP_32 = 17, 6, 12582912.0, 2.0**-23
+
+
+def _single(x: float) -> Column:
+    return F.lit(x).cast("float")
+
+
+def tried_places_32(v: Column) -> Column:
+    """As ``tried_places``, in single precision throughout."""
+    sp = start_position(v.cast("double"))
+    out = F.when(v == 0, F.lit(0))
+    for d in range(10):
+        p = _single(float(f"1e{d}"))
+        t = v * p
+        error = F.abs(t - ((t + _single(MAGIC_32)) - _single(MAGIC_32)))
+        out = out.when((error < F.abs(v) * _single(ULP_32) * p) | (sp >= 7 - d), F.lit(d))
+    return out
+
+
+def scaled_32(v: Column, places: Column) -> Column:
+    """v * 10^places in single precision, rounded to an integer (a double)."""
+    p = F.element_at(F.array(*(_single(float(f"1e{d}")) for d in range(11))), F.least(places, F.lit(10)) + 1)
+    return half_away((v * p).cast("double"))
+
+
+def checked_places_32(v: Column, tried: Column) -> Column:
+    wide = v.cast("double")
+    p = F.element_at(F.array(*(F.lit(float(f"1e{d}")) for d in range(11))), tried + 1)
+    special = F.isnan(v) | (F.abs(wide) == float("inf")) | is_negative_zero(v)
+    back = (scaled_32(v, tried) / p).cast("float")  # a double's quotient rounds to the float's own
+    return F.when(special | tried.isNull(), F.lit(NOT_DECIMAL_32)).otherwise(F.when(back == v, tried).otherwise(F.lit(NOT_DECIMAL_32)))

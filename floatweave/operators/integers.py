@@ -81,11 +81,16 @@ def sub_chunk_sizes(values: DataFrame, block: int = 16384) -> DataFrame:
     return sized.filter(F.col("n") % 32 == 0).select("series_id", "block_id", (F.col("used") + F.col("n") / 2).cast("long").alias("bytes"))
 
 
-def xor_histogram(values: DataFrame) -> DataFrame:
-    """(series_id, lead, trail, n): leading and trailing zeros of each value XORed with the one before."""
-    x = bits.double_bits(F.col("value"))
-    own = values.withColumn("x", x).withColumn("d", F.col("x").bitwiseXOR(F.lag("x").over(_order()))).filter("d is not null")
-    return own.groupBy("series_id", bits.leading_zeros(F.col("d")).cast("long").alias("lead"), bits.trailing_zeros(F.col("d")).cast("long").alias("trail")).agg(F.count("*").alias("n"))
+def xor_histogram(values: DataFrame, block: int = 65536) -> DataFrame:
+    """(series_id, lead, trail, n): leading and trailing zeros of each value XORed with the one before.
+
+    Windows are as long as a block; the last value of each block is handed to the next one."""
+    own = in_blocks(values.select("series_id", "pos", bits.double_bits(F.col("value")).alias("x")), block)
+    border = own.filter(F.col("pos") % block == block - 1).select("series_id", (F.col("pos") + 1).alias("pos"), (F.col("block_id") + 1).alias("block_id"), F.col("x").alias("handed"))
+    both = own.withColumn("handed", F.lit(None).cast("long")).unionByName(border.withColumn("x", F.lit(None).cast("long")).select("series_id", "pos", "x", "block_id", "handed"))
+    w = Window.partitionBy("series_id", "block_id").orderBy("pos", F.col("handed").isNull())
+    both = both.withColumn("d", F.col("x").bitwiseXOR(F.lag(F.coalesce("x", "handed")).over(w))).filter("d is not null")
+    return both.groupBy("series_id", bits.leading_zeros(F.col("d")).cast("long").alias("lead"), bits.trailing_zeros(F.col("d")).cast("long").alias("trail")).agg(F.count("*").alias("n"))
 
 
 def scaled(v: Column, e: Column, f: Column) -> tuple[Column, Column]:
@@ -95,7 +100,8 @@ def scaled(v: Column, e: Column, f: Column) -> tuple[Column, Column]:
     t = v * F.element_at(up, e + 1) * F.element_at(down, f + 1)
     q = F.when(F.abs(t) < 9.2e18, decimals.nearest_even(t))
     back = q * F.element_at(up, f + 1) * F.element_at(down, e + 1)
-    return q, F.coalesce(back == v, F.lit(False))
+    # the codec keeps the sign of a zero
+    return q, F.coalesce((back == v) & ~decimals.is_negative_zero(v), F.lit(False))
 
 
 def pair_search(values: DataFrame) -> DataFrame:

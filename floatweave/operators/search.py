@@ -16,10 +16,13 @@ def exists_value(values: DataFrame, x: float) -> DataFrame:
 
 
 def exists_packed(packed: DataFrame, x: float, codec: str = "planes", block: int | None = None) -> DataFrame:
-    """(series_id, found, decoded): only blocks whose range holds ``x`` are decoded."""
-    near = packed.filter((F.col("min_value") <= x) & (F.col("max_value") >= x))
-    hit = decompress(near, codec, block).filter(F.col("value") == x).select("series_id").distinct().withColumn("found", F.lit(True))
-    opened = packed.groupBy("series_id").agg(F.count(F.when((F.col("min_value") <= x) & (F.col("max_value") >= x), 1)).alias("decoded"))
+    """(series_id, found, decoded): only blocks whose range holds ``x`` are decoded.
+
+    ``packed`` should be a stored table: the range then is checked in the scan, and the payload is
+    read of those blocks alone; the count of blocks reads no payload at all."""
+    holds = (F.col("min_value") <= x) & (F.col("max_value") >= x)
+    hit = decompress(packed.filter(holds), codec, block).filter(F.col("value") == x).select("series_id").distinct().withColumn("found", F.lit(True))
+    opened = packed.select("series_id", "min_value", "max_value").groupBy("series_id").agg(F.count(F.when(holds, 1)).alias("decoded"))
     return opened.join(hit, "series_id", "left").select("series_id", F.coalesce("found", F.lit(False)).alias("found"), "decoded")
 
 

@@ -14,7 +14,7 @@ from ..functions import bits, decimals
 
 # fixed values of the format
 CHUNK = 1025
-HEADER_BYTES = 27
+HEADER_BYTES, HEADER_BYTES_32 = 27, 15
 KEY = ("series_id", "chunk_id")
 
 
@@ -23,16 +23,18 @@ def chunked(values: DataFrame, size: int = CHUNK) -> DataFrame:
     return values.withColumn("chunk_id", F.floor(F.col("pos") / size)).withColumn("j", (F.col("pos") % size).cast("int"))
 
 
-def quantized(values: DataFrame, alpha_mode: str = "exact", per_value_beta: bool = False) -> DataFrame:
+def quantized(values: DataFrame, alpha_mode: str = "exact", per_value_beta: bool = False, single: bool = False) -> DataFrame:
     """Add alpha, beta, is_raw of the chunk, and the integer ``q`` of each value.
 
     alpha_mode ``brute`` takes the simple search for decimal places. A chunk whose
     digits don't fit 15 places is raw: ``q`` are then the value's bits, sign last.
+    ``single`` is the 32-bit format: float arithmetic, 6 places, 32-bit integers.
     """
-    v = F.col("value")
-    own = chunked(values).withColumn("sp", decimals.start_position(v))
+    v = F.col("value").cast("float") if single else F.col("value")
+    own = chunked(values).withColumn("sp", decimals.start_position(v.cast("double")))
+    tried, checked, limit = (decimals.tried_places_32, decimals.checked_places_32, decimals.MAX_DIGITS_32) if single else (decimals.tried_places, decimals.checked_places, decimals.MAX_DIGITS)
     if alpha_mode == "exact":  # in two steps, so that the search is evaluated once
-        own = own.withColumn("tried", decimals.tried_places(v)).withColumn("a", decimals.checked_places(v, F.col("tried"))).drop("tried")
+        own = own.withColumn("tried", tried(v)).withColumn("a", checked(v, F.col("tried"))).drop("tried")
     else:
         own = own.withColumn("a", decimals.brute_decimal_places(v))
     w = Window.partitionBy(*KEY)
@@ -40,9 +42,14 @@ def quantized(values: DataFrame, alpha_mode: str = "exact", per_value_beta: bool
     own = own.withColumn("alpha", F.max("a").over(w))
     beta = F.max(F.col("a") + F.coalesce(F.col("sp"), F.lit(-99)) + 1).over(w) if per_value_beta else sp + F.col("alpha") + 1
     own = own.withColumn("beta", beta)
-    own = own.withColumn("is_raw", (F.col("alpha") > decimals.MAX_DIGITS) | (F.col("beta") > decimals.MAX_DIGITS))
-    raw = bits.sign_last(bits.double_bits(v))
-    scaled = decimals.half_away(v * decimals.power_of_ten(F.least(F.col("alpha"), F.lit(16))))
+    own = own.withColumn("is_raw", (F.col("alpha") > limit) | (F.col("beta") > limit))
+    if single:
+        b = bits.float_bits(v)
+        raw = F.shiftleft(b, 1).bitwiseXOR(F.shiftright(b, 31)).cast("long")
+        scaled = decimals.scaled_32(v, F.col("alpha"))
+    else:
+        raw = bits.sign_last(bits.double_bits(v))
+        scaled = decimals.half_away(v * decimals.power_of_ten(F.least(F.col("alpha"), F.lit(16))))
     return own.withColumn("q", F.when(F.col("is_raw"), raw).otherwise(F.when(~F.col("is_raw"), scaled).cast("long")))
 
 
@@ -50,6 +57,8 @@ def deltas(values: DataFrame, **how) -> DataFrame:
     """Add the zigzag difference ``zz`` to the value before in the chunk; null for its first."""
     order = Window.partitionBy(*KEY).orderBy("pos")
     own = quantized(values, **how).withColumn("before", F.lag("q").over(order))
+    if how.get("single"):
+        return own.withColumn("zz", bits.zigzag(bits.wrap_32(F.col("q") - F.col("before"))))
     step = F.when(F.col("is_raw"), bits.wrapping_subtract(F.col("q"), F.col("before"))).otherwise(F.when(~F.col("is_raw"), F.col("q")) - F.when(~F.col("is_raw"), F.col("before")))
     return own.withColumn("zz", F.when(F.col("before").isNotNull(), bits.zigzag(step)))
 
@@ -86,7 +95,7 @@ def plane_bytes(policy: str = "adaptive") -> Column:
 def chunk_sizes(values: DataFrame, policy: str = "adaptive", **how) -> DataFrame:
     """The chunk table with ``bytes``, the exact encoded size of each chunk."""
     own = chunk_table(values, **how)
-    return own.withColumn("bytes", F.aggregate(plane_bytes(policy), F.lit(HEADER_BYTES).cast("long"), lambda s, b: s + b))
+    return own.withColumn("bytes", F.aggregate(plane_bytes(policy), F.lit(HEADER_BYTES_32 if how.get("single") else HEADER_BYTES).cast("long"), lambda s, b: s + b))
 
 
 def plane_sparsity(values: DataFrame, **how) -> DataFrame:
@@ -98,11 +107,15 @@ def plane_sparsity(values: DataFrame, **how) -> DataFrame:
     return own.select(*KEY, (F.col("bit_count") - 1 - F.col("i")).alias("plane"), used.alias("nonzero_bytes"), nb.cast("long").alias("n_bytes"), ((used + F.ceil(nb / F.lit(8))) < nb).alias("is_sparse"))
 
 
-def offsets(sizes: DataFrame) -> DataFrame:
-    """Add the byte ``offset`` of each chunk in its series' stream: an exclusive running sum
-    over the small chunk table."""
-    w = Window.partitionBy("series_id").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("offset", F.coalesce(F.sum("bytes").over(w), F.lit(0)).cast("long"))
+def offsets(sizes: DataFrame, group: int = 4096) -> DataFrame:
+    """Add the byte ``offset`` of each chunk in its series' stream: running sums within groups of
+    chunks, and over the groups' totals, so no task holds all chunks of a series."""
+    own = sizes.withColumn("__group", F.floor(F.col("chunk_id") / group))
+    before = Window.partitionBy("series_id").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
+    total = own.groupBy("series_id", "__group").agg(F.sum("bytes").alias("__bytes")).withColumn("__base", F.coalesce(F.sum("__bytes").over(before), F.lit(0))).drop("__bytes")
+    w = Window.partitionBy("series_id", "__group").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("__within", F.coalesce(F.sum("bytes").over(w), F.lit(0))).join(total, ["series_id", "__group"])
+    return own.withColumn("offset", (F.col("__base") + F.col("__within")).cast("long")).drop("__group", "__base", "__within")
 
 
 def ratios(sizes: DataFrame, width: int = 8) -> DataFrame:

@@ -13,7 +13,7 @@ from .operators import compress as packing
 from .operators import integers, profile, search
 from .plans import chunks
 from .sources import synthetic, text
-from .sources.series import many_series, series, unpivot_columns
+from .sources.series import many_series, scratch, series, unpivot_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,47 @@ def places_sql(v: str = "v", brute: bool = False) -> str:
     return f"CASE WHEN {v} = 0 THEN 0 " + " ".join(rungs) + " ELSE 23 END"
 
 
+def places_32_sql(v: str = "v") -> str:
+    f = lambda x: f"CAST({x} AS FLOAT)"
+    rungs = []
+    for d in range(10):
+        t = f"({v} * {f(f'1e{d}')})"
+        near = f"abs({t} - (({t} + {f(decimals.MAGIC_32)}) - {f(decimals.MAGIC_32)})) < abs({v}) * {f(decimals.ULP_32)} * {f(f'1e{d}')}"
+        rungs.append(f"WHEN {near} OR floor(log10(nullif(abs(CAST({v} AS DOUBLE)), 0))) >= {7 - d} THEN CASE WHEN round({t}) / {f(f'1e{d}')} = {v} THEN {d} ELSE 17 END")
+    return f"CASE WHEN {v} = 0 THEN 0 " + " ".join(rungs) + " ELSE 17 END"
+
+
+EMBEDDED = "SELECT vec_id * 64 + k - 1 AS pos, {expr} AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS k)"
+
+
+def wide_chunk_sql(base: str, single: bool = False, per_value_beta: bool = False) -> str:
+    """As ``chunk_sql``, over any base (pos, v): with raw chunks, whose differences wrap, and in both widths."""
+    width, limit, powers = (32, 6, "[" + ", ".join(f"CAST(1e{d} AS FLOAT)" for d in range(11)) + "]") if single else (64, 15, "[" + ", ".join(f"1e{d}" for d in range(17)) + "]")
+    half, whole = f"{2 ** (width - 1)}::HUGEINT", f"{2**width}::HUGEINT"
+    wrap = lambda x: f"CASE WHEN {x} >= {half} THEN {x} - {whole} WHEN {x} < -{half} THEN {x} + {whole} ELSE {x} END"
+    beta = "CAST(max(a + coalesce(sp, -99) + 1) OVER w AS BIGINT)" if per_value_beta else "CAST(coalesce(max(sp) OVER w, -99) AS BIGINT) + max(a) OVER w + 1"
+    return f"""WITH base AS ({base}),
+a AS (SELECT pos, v, pos // 1025 AS chunk_id, {places_32_sql() if single else places_sql()} AS a, floor(log10(nullif(abs(CAST(v AS DOUBLE)), 0))) AS sp FROM base),
+b AS (SELECT *, max(a) OVER w AS alpha, {beta} AS beta FROM a WINDOW w AS (PARTITION BY chunk_id)),
+x AS (SELECT *, CAST(CAST(CAST(v AS BIT) AS {'INTEGER' if single else 'BIGINT'}) AS HUGEINT) AS x FROM b),
+t AS (SELECT *, ((x * 2 + {half}) % {whole} + {whole}) % {whole} - {half} AS t FROM x),
+q AS (SELECT *, CASE WHEN alpha > {limit} OR beta > {limit} THEN CASE WHEN x < 0 THEN -t - 1 ELSE t END ELSE CAST(round(v * {powers}[alpha + 1]) AS HUGEINT) END AS q FROM t),
+s AS (SELECT *, q - lag(q) OVER (PARTITION BY chunk_id ORDER BY pos) AS s FROM q),
+d AS (SELECT *, {wrap('s')} AS step FROM s),
+z AS (SELECT chunk_id, (pos % 1025 - 1) // 8 AS g, CASE WHEN step >= 0 THEN 2 * step ELSE -2 * step - 1 END AS z FROM d WHERE step IS NOT NULL),
+g AS (SELECT chunk_id, g, bit_or(CAST(CASE WHEN z > 9223372036854775807 THEN z - 18446744073709551616::HUGEINT ELSE z END AS BIGINT)) AS m FROM z GROUP BY 1, 2),
+p AS (SELECT chunk_id, count(*) AS nb, length(ltrim(bin(bit_or(m)), '0')) AS w FROM g GROUP BY 1),
+h AS (SELECT chunk_id, CAST(count(*) AS BIGINT) AS n, CAST(max(alpha) AS BIGINT) AS alpha, CAST(max(beta) AS BIGINT) AS beta, CAST(max(CASE WHEN pos % 1025 = 0 THEN q END) AS BIGINT) AS first_value FROM q GROUP BY 1),
+c AS (SELECT h.*, CAST(coalesce(nb, 0) AS BIGINT) AS nb, CAST(greatest(coalesce(w, 1), 1) AS BIGINT) AS bit_count FROM h LEFT JOIN p USING (chunk_id)),
+pl AS (SELECT chunk_id, i, max(nb) AS nb, max(bit_count) AS bit_count, coalesce(sum((m >> i) & 1), 0) AS used FROM c CROSS JOIN (SELECT unnest(range(64)) AS i) LEFT JOIN g USING (chunk_id) WHERE i < bit_count GROUP BY 1, 2)"""
+
+
+def wide_sizes_sql(series_id: str, base: str, policy: str = "adaptive", single: bool = False, per_value_beta: bool = False) -> str:
+    return f"""{wide_chunk_sql(base, single, per_value_beta)},
+sized AS (SELECT chunk_id, CAST({15 if single else 27} + sum({PLANE[policy]}) AS BIGINT) AS bytes FROM pl GROUP BY 1)
+SELECT '{series_id}' AS series_id, chunk_id, n, alpha, beta, first_value, bit_count, bytes FROM c JOIN sized USING (chunk_id)"""
+
+
 def chunk_sql(name: str, brute: bool = False, expr: str = "{c}") -> str:
     """CTEs base, a, b, q, d, g, p: values, their places, the chunk's, integers, differences, eights, chunks."""
     powers = "[" + ", ".join(f"1e{d}" for d in range(17)) + "]"
@@ -122,6 +163,116 @@ for _policy in ("dense", "sparse"):
 register("ablation_brute_places", sizes_sql("p_retailprice", brute=True))(_sizes("p_retailprice", mode="brute"))
 
 
+def embedded(spark: SparkSession, sf_dir: str, rounded: bool = False) -> DataFrame:
+    """The components of all embeddings as one series of floats; ``rounded`` to two decimals."""
+    cells = load(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "x"))
+    x = (F.round(F.col("x").cast("double") * 100) / 100).cast("float") if rounded else F.col("x")
+    return cells.select(F.lit("embedding").alias("series_id"), (F.col("vec_id") * 64 + F.col("k")).alias("pos"), x.cast("double").alias("value"))
+
+
+RAW_F32 = EMBEDDED.format(expr="embedding[k]")
+ROUND_F32 = EMBEDDED.format(expr="CAST(round(CAST(embedding[k] AS DOUBLE) * 100) / 100 AS FLOAT)")
+for _label, _base, _rounded in (("raw", RAW_F32, False), ("rounded", ROUND_F32, True)):
+    register(f"chunk_sizes_f32_{_label}", wide_sizes_sql("embedding", _base, single=True))(
+        lambda spark, d, r=_rounded: longs(chunks.chunk_sizes(embedded(spark, d, r), single=True).select(*CHUNK_COLUMNS))
+    )
+for _policy in ("dense", "sparse"):
+    register(f"ablation_f32_{_policy}", wide_sizes_sql("embedding", ROUND_F32, _policy, single=True))(
+        lambda spark, d, p=_policy: longs(chunks.chunk_sizes(embedded(spark, d, True), p, single=True).select(*CHUNK_COLUMNS))
+    )
+
+
+@register("chunk_offsets_f32", f"SELECT series_id, chunk_id, bytes, CAST(coalesce(sum(bytes) OVER (ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM ({wide_sizes_sql('embedding', ROUND_F32, single=True)})")
+def chunk_offsets_f32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.offsets(chunks.chunk_sizes(embedded(spark, sf_dir, True), single=True), group=8).select("series_id", "chunk_id", "bytes", "offset")
+
+
+@register("plane_sparsity_f32", wide_chunk_sql(ROUND_F32, single=True) + f" SELECT 'embedding' AS series_id, chunk_id, CAST(bit_count - 1 - i AS BIGINT) AS plane, CAST(used AS BIGINT) AS nonzero_bytes, CAST(nb AS BIGINT) AS n_bytes, {SPARSE} < nb AS is_sparse FROM pl WHERE nb > 0")
+def plane_sparsity_f32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(chunks.plane_sparsity(embedded(spark, sf_dir, True), single=True))
+
+
+@register("decimal_places_f32", f"SELECT CAST({places_32_sql()} AS BIGINT) AS places, count(*) AS n FROM ({ROUND_F32}) GROUP BY 1")
+def decimal_places_f32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("v")
+    own = embedded(spark, sf_dir, True).select(F.col("value").cast("float").alias("v")).withColumn("tried", decimals.tried_places_32(v))
+    return longs(own.groupBy(decimals.checked_places_32(v, F.col("tried")).alias("places")).agg(F.count("*").alias("n")))
+
+
+@register("payload_bytes_f32", f"SELECT chunk_id AS block_id, bytes FROM ({wide_sizes_sql('embedding', ROUND_F32, single=True)})")
+def payload_bytes_f32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.compress(embedded(spark, sf_dir, True), "planes_f32", block=chunks.CHUNK)
+    return packed.select("block_id", F.octet_length("payload").cast("long").alias("bytes"))
+
+
+def raw_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_series(spark, sf_dir, "events_value").withColumn("value", F.sqrt("value") / 3)
+
+
+RAW_SIZES = wide_sizes_sql("events_value", base_sql("events_value", "sqrt({c}) / 3"))
+
+
+@register("chunk_sizes_raw", RAW_SIZES)
+def chunk_sizes_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(chunks.chunk_sizes(raw_values(spark, sf_dir)).select(*CHUNK_COLUMNS))
+
+
+@register("payload_bytes_raw", f"SELECT chunk_id AS block_id, bytes FROM ({RAW_SIZES})")
+def payload_bytes_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.compress(raw_values(spark, sf_dir), "planes", block=chunks.CHUNK)
+    return packed.select("block_id", F.octet_length("payload").cast("long").alias("bytes"))
+
+
+@register("chunk_sizes_per_value_beta", wide_sizes_sql("events_value", base_sql("events_value", "CAST(round({c} * 1000) / 1000 * 7 AS DOUBLE)"), per_value_beta=True))
+def chunk_sizes_per_value_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = load_series(spark, sf_dir, "events_value").withColumn("value", decimals.half_away(F.col("value") * 1000) / 1000 * 7)
+    return longs(chunks.chunk_sizes(own, per_value_beta=True).select(*CHUNK_COLUMNS))
+
+
+@register("block_index", f"SELECT chunk_id AS block_id, n, bytes, CAST(coalesce(sum(bytes) OVER (ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM ({sizes_sql('o_totalprice')})")
+def block_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.compress(load_series(spark, sf_dir, "o_totalprice"), "planes", block=chunks.CHUNK)
+    return packing.index(packed, group=4).select("block_id", "n", "bytes", "offset")
+
+
+@register(
+    "bit_functions",
+    "WITH x AS (SELECT event_id, value, CAST(CAST(value AS BIT) AS BIGINT) AS b, CAST(floor(value) AS BIGINT) - 200 AS k FROM events) "
+    "SELECT event_id, value AS back, b AS sign_back, k AS zig_back, k AS wrapped, CASE WHEN b % 2 = 0 THEN b // 2 ELSE CAST((b - 1) // 2 - 9223372036854775808::HUGEINT AS BIGINT) END AS rotated, "
+    "CAST(length(bin(b)) - length(ltrim(bin(b), '0')) AS BIGINT) + CAST(CASE WHEN bin(b) LIKE '0%' THEN 0 ELSE 64 - length(bin(b)) END AS BIGINT) AS lead, "
+    "CAST(length(bin(b)) - length(rtrim(bin(b), '0')) AS BIGINT) AS trail, CAST(CAST(CAST(value AS FLOAT) AS BIT) AS INTEGER)::BIGINT AS single_bits FROM x",
+)
+def bit_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, k = F.col("b"), F.col("k")
+    own = load(spark, sf_dir, "events").withColumn("b", bits.double_bits(F.col("value"))).withColumn("k", F.floor("value") - 200)
+    return longs(
+        own.select(
+            "event_id", bits.bits_double(b).alias("back"), bits.unsign_last(bits.sign_last(b)).alias("sign_back"), bits.unzigzag(bits.zigzag(k)).alias("zig_back"), bits.wrap_32(k + F.lit(3 << 32)).alias("wrapped"),
+            bits.rotate_right_1(b).alias("rotated"), bits.leading_zeros(b).alias("lead"), bits.trailing_zeros(b).alias("trail"), bits.float_bits(F.col("value").cast("float")).alias("single_bits"),
+        )
+    )
+
+
+@register(
+    "decimal_functions",
+    "WITH v AS (SELECT c_custkey, c_acctbal AS v, rtrim(split_part(printf('%.2f', abs(c_acctbal)), '.', 2), '0') AS fr FROM customer) "
+    "SELECT c_custkey, CASE WHEN v * 10.0::DOUBLE < 0 THEN floor(v * 10.0::DOUBLE) ELSE ceil(v * 10.0::DOUBLE) END / 10.0::DOUBLE AS up, CAST(ceil(length(fr) * 3.321928094887362::DOUBLE) AS BIGINT) AS bits, "
+    "CAST(floor(log10(nullif(abs(v), 0))) AS BIGINT) AS start, abs(v) IN (0.01, 0.1, 1, 10, 100, 1000) AS is_power, "
+    "CAST(CASE WHEN v = 0 THEN NULL WHEN abs(v) IN (0.01, 0.1) THEN 0 ELSE floor(log10(abs(v))) + 1 + CASE "
+    + " ".join(f"WHEN {d} >= -floor(log10(abs(v))) AND round(abs(v) * 1e{d}) = abs(v) * 1e{d} AND abs(v) * 1e{d} / 1e{d} = abs(v) THEN {d}" for d in range(17))
+    + " END END AS BIGINT) AS digits FROM v",
+)
+def decimal_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("c_acctbal")
+    own = load(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", decimals.tried_places(v).alias("tried")).withColumn("places", decimals.checked_places(v, F.col("tried")))
+    return longs(
+        own.select(
+            "c_custkey", decimals.round_up(v, F.lit(1)).alias("up"), decimals.fraction_bits(F.col("places")).alias("bits"), decimals.exact_start(v).alias("start"),
+            decimals.is_power_of_ten(v).alias("is_power"), decimals.significant_count(v).alias("digits"),
+        )
+    )
+
+
 @register(
     "compression_ratio_by_column",
     "SELECT series_id, CAST(sum(n) AS BIGINT) AS n_values, count(*) AS n_chunks, CAST(sum(bytes) AS BIGINT) AS bytes, round(sum(bytes) / (sum(n) * 8), 6) AS ratio FROM ("
@@ -176,6 +327,15 @@ for _codec, _name in (("planes", "l_extendedprice"), ("gorilla", "events_value")
     register(f"roundtrip_{_codec}", base_sql(_name, "CAST({c} AS DOUBLE)"))(_round_trip(_codec, _name))
 
 
+for _codec in ("pfpc", "alp_chosen", "alp_local"):
+    register(f"roundtrip_{_codec}", base_sql("events_value", "CAST({c} AS DOUBLE)"))(_round_trip(_codec, "events_value"))
+
+
+@register("roundtrip_mpc_f32", EMBEDDED.format(expr="CAST(embedding[k] AS DOUBLE)"))
+def roundtrip_mpc_f32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.decompress(packing.compress(embedded(spark, sf_dir), "mpc_f32"), "mpc_f32").select("pos", F.col("value").alias("v"))
+
+
 @register("roundtrip_float32", "SELECT vec_id * 64 + k - 1 AS pos, CAST(embedding[k] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS k)")
 def roundtrip_float32(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = load(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "x"))
@@ -361,7 +521,9 @@ def exists_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("exists_packed", f"WITH base AS ({base_sql('events_value')}), b AS (SELECT pos // 16400 AS b, min(v) AS lo, max(v) AS hi FROM base GROUP BY 1) SELECT 'events_value' AS series_id, (SELECT bool_or(v = 12.34) FROM base) AS found, count(*) FILTER (lo <= 12.34 AND hi >= 12.34) AS decoded FROM b")
 def exists_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.exists_packed(packing.compress(load_series(spark, sf_dir, "events_value")), 12.34)
+    path = scratch(spark, "blocks")  # stored, as blocks that are searched are
+    packing.compress(load_series(spark, sf_dir, "events_value")).write.parquet(path)
+    return search.exists_packed(spark.read.parquet(path), 12.34)
 
 
 @register("all_columns_equal", "SELECT coalesce(bool_or(l_discount = 0.05 AND l_tax = 0.05), false) AS found FROM lineitem")

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (a local one where the session names none)."""
+    """A new path in the folder that all executors share; only a local master may do without one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="floatweave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -31,10 +33,10 @@ def with_positions(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     held = spark.read.parquet(path)
     before, base = 0, []
     for r in held.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect():
-        base += [F.lit(r["__part"]), F.lit(before)]
+        base.append((r["__part"], before))
         before += r["n"]
-    offset = F.create_map(*base)[F.col("__part")] if base else F.lit(0)
-    return held.withColumn(name, (offset + F.col("__row")).cast("long")).drop("__part", "__row")
+    counts = F.broadcast(spark.createDataFrame(base, "__part int, __base long"))  # a row for each task
+    return held.join(counts, "__part").withColumn(name, F.col("__base") + F.col("__row")).drop("__part", "__row", "__base")
 
 
 def series(df: DataFrame, value: str, order: list[str], series_id: str | None = None) -> DataFrame:
