@@ -152,27 +152,29 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload, record_type, refers_to) of each response and revisit of an archive
-    set; a revisit has no payload. Raises on a record that is cut short or whose parts fail
+    """(page_id, payload, digest, record_type, refers_to) of each response and revisit of an archive
+    set; a revisit has no payload, and ``digest`` (SHA-1 in hex) is that of its header. Raises on a record that is cut short or whose parts fail
     their total length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "payload", "record_type", "refers_to", "origin", "segment", "total", "part"]
-        kinds = [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["page_id", "payload", "digest", "record_type", "refers_to", "origin", "segment", "total", "part"]
+        kinds = [pa.int64(), pa.binary(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
         number = lambda v: int(v) if v else None
 
         def rows(data: bytes):
             for f, block in parse(data):
                 kind, page = f["warc-type"], number(f.get("x-page-id"))
+                digest = f.get("warc-payload-digest", "").removeprefix("sha1:")
+                digest = base64.b32decode(digest).hex() if digest else None
                 if kind == "continuation":
-                    yield None, None, kind, None, f["warc-segment-origin-id"], int(f["warc-segment-number"]), number(f.get("warc-segment-total-length")), block
+                    yield None, None, None, kind, None, f["warc-segment-origin-id"], int(f["warc-segment-number"]), number(f.get("warc-segment-total-length")), block
                 elif kind == "revisit":
-                    yield page, None, kind, number(f.get("x-refers-to-page-id")), None, None, None, None
+                    yield page, None, digest, kind, number(f.get("x-refers-to-page-id")), None, None, None, None
                 elif kind == "response":
                     if "warc-segment-number" in f:
-                        yield page, None, kind, None, f["warc-record-id"], 1, None, block
+                        yield page, None, digest, kind, None, f["warc-record-id"], 1, None, block
                     else:
-                        yield page, payload_of(block), kind, None, None, None, None, None
+                        yield page, payload_of(block), digest, kind, None, None, None, None, None
 
         def out(some):
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in some], t) for k, t in enumerate(kinds)], names)
@@ -197,23 +199,25 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     raise ValueError("a segmented record fails its total length")
                 body = payload_of(block)
                 n = len(pages)  # rows of equal id and payload share an identifier: each is a record
-                yield pa.RecordBatch.from_arrays([pa.array([p["page_id"] for p in pages], pa.int64()), pa.array([body] * n, pa.binary()), pa.array(["response"] * n), pa.array([None] * n, pa.int64())], ["page_id", "payload", "record_type", "refers_to"])
+                yield pa.RecordBatch.from_arrays([pa.array([p["page_id"] for p in pages], pa.int64()), pa.array([body] * n, pa.binary()), pa.array([p["digest"] for p in pages], pa.string()), pa.array(["response"] * n), pa.array([None] * n, pa.int64())], ["page_id", "payload", "digest", "record_type", "refers_to"])
 
-    schema = "page_id long, payload binary, record_type string, refers_to long, origin string, segment long, total long, part binary"
+    schema = "page_id long, payload binary, digest string, record_type string, refers_to long, origin string, segment long, total long, part binary"
     parsed = stash(spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema), "warc-records")
-    whole = parsed.filter("origin is null").select("page_id", "payload", "record_type", "refers_to")
+    whole = parsed.filter("origin is null").select("page_id", "payload", "digest", "record_type", "refers_to")
     grouped = parsed.filter("origin is not null").groupBy("origin").agg(
-        F.expr("collect_list(struct(page_id)) filter (where segment = 1)").alias("pages"), F.max("total").alias("total"), F.collect_set(F.struct("segment", "part")).alias("parts")
+        F.expr("collect_list(struct(page_id, digest)) filter (where segment = 1)").alias("pages"), F.max("total").alias("total"), F.collect_set(F.struct("segment", "part")).alias("parts")
     )
-    rebuilt = grouped.select("pages", "total", "parts").mapInArrow(join_parts, "page_id long, payload binary, record_type string, refers_to long")
+    rebuilt = grouped.select("pages", "total", "parts").mapInArrow(join_parts, "page_id long, payload binary, digest string, record_type string, refers_to long")
     return whole.unionByName(rebuilt)
 
 
 def resolved(records_read: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to): a revisit's payload is that of the page it refers to."""
-    seen = records_read.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to): a revisit's payload is that of
+    the page it refers to, with the digest that the revisit names."""
+    own = F.when(F.col("record_type") == "response", F.sha1("payload")).otherwise(F.col("digest"))
+    seen = records_read.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), own.alias("payload_digest"), "record_type", "refers_to")
     seen = stash(seen, "warc-seen")
     first = seen.filter("record_type = 'response'")
-    target = stash(first.groupBy(F.col("page_id").alias("refers_to")).agg(F.min("payload_bytes").alias("payload_bytes"), F.min("payload_digest").alias("payload_digest")), "warc-targets")
-    again = seen.filter("record_type = 'revisit'").select("page_id", "record_type", "refers_to").join(target, "refers_to", "left")
+    target = first.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.min("payload_bytes").alias("payload_bytes"))
+    again = seen.filter("record_type = 'revisit'").drop("payload_bytes").join(stash(target, "warc-targets"), ["refers_to", "payload_digest"], "left")
     return first.unionByName(again.select(first.columns))

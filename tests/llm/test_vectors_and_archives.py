@@ -52,6 +52,32 @@ def test_vector_links(spark, tile):
     assert vectors.vector_links(table.limit(0)).count() == 0
 
 
+def test_vector_links_in_double_precision(spark):
+    """Pairs on both sides of the threshold that single precision cannot tell apart."""
+    import math
+
+    rows = []
+    for k in range(40):
+        angle = math.acos(0.93) + (1e-10 if k % 2 else -1e-10)
+        rows += [(2 * k, k, [1.0, 0.0, 0.0, 0.0]), (2 * k + 1, k, [math.cos(angle), math.sin(angle), 0.0, 0.0])]
+    got = {r.vec_id: r.n_links for r in vectors.vector_links(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()}
+    assert all(got[2 * k] == 0 for k in range(1, 40, 2))
+    assert sum(got[2 * k] for k in range(0, 40, 2)) >= 19
+
+
+def test_collisions_are_those_of_windows():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 30, 64, 300):
+        value = rng.normal(size=(n, 64))
+        want = (np.abs(value[:, None, :] - value[None, :, :]) <= 0.75).sum(2)
+        assert np.array_equal(np.concatenate([c for _, c in vectors._collisions(value, 0.75)]), want)
+
+
+def test_tables_grow_with_the_vectors():
+    assert vectors.lines_per_table(1) == vectors.lines_per_table(65536) == 6 and vectors.lines_per_table(10**7) == 14
+    assert vectors.calibrate(0.93, per_table=9)[0] > vectors.calibrate(0.93)[0]
+
+
 def test_calibration_is_monotonous():
     assert vectors.calibrate(0.99)[0] < vectors.calibrate(0.93)[0] < vectors.calibrate(0.85)[0]
 
