@@ -10,7 +10,8 @@ from __future__ import annotations
 def registry() -> dict:
     from . import alp, general, grid, integers, planes, predict, xor
 
-    made = [planes.PlaneCodec("f8"), planes.PlaneCodec("f4"), xor.Gorilla(), xor.Chimp(), xor.Patas(), xor.Elf(), xor.ElfStar(), alp.Alp(), alp.AlpRd(), alp.AlpChosen(), alp.AlpLocal(), grid.GridCodec("f8"), grid.GridCodec("f4"), integers.Cascaded(), predict.Fpc(), predict.ParallelFpc(), predict.Gfc(), predict.Mpc(), predict.Mpc(kind="f4"), *general.codecs()]
+    both = [c("f4") for c in (xor.Chimp, xor.Elf, xor.ElfStar, alp.Alp, alp.AlpRd, alp.AlpChosen)]
+    made = [planes.PlaneCodec("f8"), planes.PlaneCodec("f4"), xor.Gorilla(), xor.Chimp(), xor.Patas(), xor.Elf(), xor.ElfStar(), alp.Alp(), alp.AlpRd(), alp.AlpChosen(), alp.AlpLocal(), grid.GridCodec("f8"), grid.GridCodec("f4"), integers.Cascaded(), predict.Fpc(), predict.ParallelFpc(), predict.Gfc(), predict.Mpc(), predict.Mpc(kind="f4"), *both, *general.codecs()]
     return {c.name: c for c in made}
 
 

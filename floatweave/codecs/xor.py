@@ -3,22 +3,58 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
+from typing import NamedTuple
 
 import numpy as np
 
 # fixed values of the formats: leading zeros are rounded down to one of eight numbers
 ROUNDED = (0, 8, 12, 16, 18, 20, 22, 24)
-_CODE = [max(k for k, r in enumerate(ROUNDED) if r <= z) for z in range(65)]
+ROUNDED_32 = (0, 6, 10, 12, 14, 16, 18, 20)  # of the erasing codec over floats
 NAN = 0x7FF8000000000000
-_M = (1 << 64) - 1
+
+
+class Form(NamedTuple):
+    """What differs between doubles and floats."""
+
+    width: int
+    nan: int
+    fraction: int  # bits of it
+    digits: int  # the most significant digits that may be named
+    rounded: tuple[int, ...]  # of the erasing codec
+    most: int  # digits beyond which a value is no decimal
+
+    @property
+    def whole(self) -> int:
+        return (1 << self.width) - 1
+
+    def lead(self, x: int) -> int:
+        return self.width - x.bit_length()
+
+    def trail(self, x: int) -> int:
+        return (x & -x).bit_length() - 1 if x else self.width
+
+    def bits(self, values) -> list[int]:
+        return np.ascontiguousarray(values, f"f{self.width // 8}").view(f"u{self.width // 8}").tolist()
+
+    def floats(self, bits: list[int]) -> np.ndarray:
+        return np.array(bits, f"u{self.width // 8}").view(f"f{self.width // 8}")
+
+
+FORMS = {"f8": Form(64, NAN, 52, 15, ROUNDED, 17), "f4": Form(32, 0x7FC00000, 23, 7, ROUNDED_32, 9)}
+
+
+def code_of(rounded: tuple[int, ...], zeros: int) -> int:
+    """Which of eight numbers of leading zeros stands for this one."""
+    return bisect_right(rounded, zeros) - 1
 
 
 def lead(x: int) -> int:
-    return 64 - x.bit_length()
+    return FORMS["f8"].lead(x)
 
 
 def trail(x: int) -> int:
-    return (x & -x).bit_length() - 1 if x else 64
+    return FORMS["f8"].trail(x)
 
 
 class Writer:
@@ -44,12 +80,7 @@ class Reader:
         return int(self.bits[self.at - n : self.at], 2) if n else 0
 
 
-def _bits(values) -> list[int]:
-    return np.ascontiguousarray(values, np.float64).view(np.uint64).tolist()
-
-
-def _floats(bits: list[int]) -> np.ndarray:
-    return np.array(bits, np.uint64).view(np.float64)
+_bits, _floats = FORMS["f8"].bits, FORMS["f8"].floats
 
 
 class Gorilla:
@@ -100,21 +131,26 @@ class Chimp:
     """Each value against one of the last 128 that ends in the same bits, if the XOR then ends in
     more than 13 zeros, or against the last."""
 
-    name, block, dtype = "chimp128", 1024, "f8"
-    previous, low = 128, 13  # low: 6 + log2(128)
+    block, previous = 1024, 128
+
+    def __init__(self, kind: str = "f8"):
+        self.dtype, self.form = kind, FORMS[kind]
+        self.name = "chimp128" if kind == "f8" else "chimp128_f32"
+        self.size_bits = 6 if kind == "f8" else 5
+        self.low = self.size_bits + 7  # 7: log2(128)
 
     def encode(self, values) -> bytes:
         if np.isnan(values).any():
             raise ValueError("NaN ends a stream of this codec; filter it first")
-        out, ring, seen, held = Writer(), [0] * self.previous, {}, None
-        for k, x in enumerate([*_bits(values), NAN]):
+        out, ring, seen, held, form = Writer(), [0] * self.previous, {}, None, self.form
+        for k, x in enumerate([*form.bits(values), form.nan]):
             key = x & ((1 << (self.low + 1)) - 1)
             if not k:
-                out.put(x, 64)
+                out.put(x, form.width)
             else:
                 ref, tz = (k - 1) % self.previous, 0
                 at = seen.get(key, 0)  # an unseen key stands for the first value
-                if (k - 1) - at < self.previous and (t := trail(x ^ ring[at % self.previous])) > self.low:
+                if (k - 1) - at < self.previous and (t := form.trail(x ^ ring[at % self.previous])) > self.low:
                     ref, tz = at % self.previous, t
                 d = x ^ ring[ref]
                 if not d:
@@ -122,45 +158,45 @@ class Chimp:
                     out.put(ref, 7)
                     held = None
                 elif tz > self.low:
-                    code = _CODE[lead(d)]
-                    size = 64 - ROUNDED[code] - tz
+                    code = code_of(ROUNDED, form.lead(d))
+                    size = form.width - ROUNDED[code] - tz
                     out.put(1, 2)
                     out.put(ref, 7)
                     out.put(code, 3)
-                    out.put(size, 6)
+                    out.put(size, self.size_bits)
                     out.put(d >> tz, size)
                     held = None
                 else:
-                    code = _CODE[lead(d)]
+                    code = code_of(ROUNDED, form.lead(d))
                     if code == held:
                         out.put(2, 2)
                     else:
                         out.put(3, 2)
                         out.put(code, 3)
                         held = code
-                    out.put(d, 64 - ROUNDED[code])
+                    out.put(d, form.width - ROUNDED[code])
             ring[k % self.previous] = x
             seen[key] = k
         return out.done()
 
     def decode(self, data: bytes, n: int | None = None) -> np.ndarray:
-        src, held = Reader(data), None
-        found = [src.get(64)]
-        while found[-1] != NAN:
+        src, held, form = Reader(data), None, self.form
+        found = [src.get(form.width)]
+        while found[-1] != form.nan:
             k, flag = len(found), src.get(2)
             if flag < 2:
                 at = src.get(7)
                 ref = next(j for j in range(k - 1, max(-1, k - 1 - self.previous), -1) if j % self.previous == at)
                 if flag:
-                    code, size = src.get(3), src.get(6)
-                    found.append(found[ref] ^ (src.get(size) << (64 - ROUNDED[code] - size)))
+                    code, size = src.get(3), src.get(self.size_bits)
+                    found.append(found[ref] ^ (src.get(size) << (form.width - ROUNDED[code] - size)))
                 else:
                     found.append(found[ref])
             else:
                 if flag == 3:
                     held = src.get(3)
-                found.append(found[-1] ^ src.get(64 - ROUNDED[held]))
-        return _floats(found[:-1])
+                found.append(found[-1] ^ src.get(form.width - ROUNDED[held]))
+        return form.floats(found[:-1])
 
 
 class Patas:
@@ -209,68 +245,95 @@ def start(v: float) -> int:
     return k + 1 if float(f"1e{k + 1}") <= v else k - 1 if float(f"1e{k}") > v else k
 
 
-def significant(v: float) -> tuple[int, int]:
-    """(decimal places, significant digits) of |v|; the digits are 0 for a power of ten below one and 17 if none suffice."""
-    sp = start(v)
-    for places in range(max(0, -sp), 17 - sp):
+def significant(v: float, form: Form = FORMS["f8"]) -> tuple[int, int]:
+    """(decimal places, significant digits) of |v|; the digits are 0 for a power of ten below one and 17 (of
+    floats 9) if none suffice. A float has the fewest places whose rounding is nearest to it among floats."""
+    sp, single = start(v), form.width == 32
+    for places in range(max(0, -sp), form.most - sp):
         if places > 300:
             break
-        scaled = v * float(f"1e{places}")
-        if scaled == math.trunc(scaled) and scaled / float(f"1e{places}") == v:
-            return places, 0 if v < 1 and v == float(f"1e{sp}") else sp + places + 1
-    return 17 - sp - 1, 17
+        power = float(f"1e{places}")
+        scaled = v * power
+        if single:
+            ten, found = float(np.float32(f"1e{sp}")), float(np.float32(round(scaled) / power))
+        else:
+            ten, found = float(f"1e{sp}"), v if scaled == math.trunc(scaled) and scaled / power == v else None
+        if found == v:
+            return places, 0 if v < 1 and v == ten else sp + places + 1
+    return form.most - sp - 1, form.most
+
+
+def erased(values, form: Form) -> list[tuple[int, int | None]]:
+    """(bits that are kept, digits that give the rest back or null) of each value."""
+    out, bias = [], (1 << (form.width - form.fraction - 2)) - 1
+    for v, x in zip(np.asarray(values).tolist(), form.bits(values)):
+        kept, digits = x, None
+        if v and math.isfinite(v):
+            places, found = significant(abs(v), form)
+            exponent = (x >> form.fraction & (2 * bias + 1)) - bias
+            erase = form.fraction - (math.ceil(places * math.log2(10)) + exponent)
+            low = (1 << erase) - 1 if form.digits.bit_length() < erase <= form.fraction else 0
+            if x & low and found <= form.digits and elf_restore(x & ~low, found, form) == x:
+                kept, digits = x & ~low, found
+        out.append((kept, digits))
+    return out
 
 
 class Elf:
     """Low bits that the number of significant digits gives back are erased before the XOR.
 
     For each value: 10 if nothing is erased, 0 if the digits' number is the last one, or 11
-    and four bits of it; then the XOR code of what is left."""
+    and its bits (four, of floats three); then the XOR code of what is left."""
 
-    name, block, dtype = "elf", 1000, "f8"
+    block, names = 1000, ("elf", "elf_f32")
+
+    def __init__(self, kind: str = "f8"):
+        self.dtype, self.form = kind, FORMS[kind]
+        self.name = self.names[kind == "f4"]
 
     def encode(self, values) -> bytes:
         if np.isnan(values).any():
             raise ValueError("this codec takes no NaN; filter it first")
+        return self._put(erased(values, self.form))
+
+    def decode(self, data: bytes, n: int | None = None) -> np.ndarray:
+        src, digits, out = Reader(data), None, []
+        n = src.get(32)
+        xor = self._xor(src)
+        for _ in range(n):
+            whole = False
+            if src.get(1):
+                if src.get(1):
+                    digits = src.get(self.form.digits.bit_length())
+                else:
+                    whole = True
+            x = xor.get()
+            out.append(x if whole else elf_restore(x, digits, self.form))
+        return self.form.floats(out)
+
+    def _put(self, rows: list[tuple[int, int | None]]) -> bytes:
         out, last_digits = Writer(), None
-        xor = _ElfXor(out)
-        out.put(len(values), 32)
-        for v, x in zip(np.asarray(values, np.float64).tolist(), _bits(values)):
-            kept, digits = x, None
-            if v and math.isfinite(v):
-                places, digits = significant(abs(v))
-                erase = 52 - (math.ceil(places * math.log2(10)) + (x >> 52 & 0x7FF) - 1023)
-                mask = _M << erase & _M if 4 < erase <= 52 else _M
-                if mask != _M and x & ~mask & _M and digits <= 15 and elf_restore(x & mask, digits) == x:
-                    kept = x & mask
-            if kept == x:
+        out.put(len(rows), 32)
+        xor = self._xor(out, rows)
+        for kept, digits in rows:
+            if digits is None:
                 out.put(2, 2)
             elif digits == last_digits:
                 out.put(0, 1)
             else:
-                out.put(0x30 | digits, 6)
+                out.put(3, 2)
+                out.put(digits, self.form.digits.bit_length())
                 last_digits = digits
             xor.put(kept)
         return out.done()
 
-    def decode(self, data: bytes, n: int | None = None) -> np.ndarray:
-        src, digits, out = Reader(data), None, []
-        xor = _ElfXor(src)
-        for _ in range(src.get(32)):
-            erased = True
-            if src.get(1):
-                if src.get(1):
-                    digits = src.get(4)
-                else:
-                    erased = False
-            x = xor.get()
-            out.append(elf_restore(x, digits) if erased else x)
-        return _floats(out)
+    def _xor(self, io, rows=None):
+        return _ElfXor(io, self.form)
 
 
-def elf_restore(kept: int, digits: int) -> int:
+def elf_restore(kept: int, digits: int, form: Form = FORMS["f8"]) -> int:
     """The value with that many significant digits that lies next above (in size) the erased one."""
-    v = float(_floats([kept])[0])
+    v = float(form.floats([kept])[0])
     size = abs(v)
     if not size:
         return kept
@@ -280,61 +343,61 @@ def elf_restore(kept: int, digits: int) -> int:
     else:
         places = digits - sp - 1
         found = math.ceil(size * float(f"1e{places}")) / float(f"1e{places}") if 0 <= places <= 300 else size
-    return _bits(np.array([math.copysign(found, v)]))[0]
+    with np.errstate(over="ignore"):
+        return form.bits(np.array([math.copysign(found, v)]))[0]
 
 
 class _ElfXor:
     """01 for equal, 00 for the window before, 1 and a new window: three bits of rounded leading
-    zeros, four or six of the centre's length."""
+    zeros, and the centre's length in few bits (10) or in more (11)."""
 
-    def __init__(self, io):
-        self.io, self.last, self.code, self.tz = io, None, None, None
+    def __init__(self, io, form: Form):
+        self.io, self.form, self.last, self.code, self.tz = io, form, None, None, None
+        self.short, self.long = (4, 6) if form.width == 64 else (3, 5)
+
+    def _centre(self) -> int:
+        return self.form.width - self.form.rounded[self.code] - self.tz
 
     def put(self, x: int) -> None:
-        out = self.io
+        out, form = self.io, self.form
         if self.last is None:
-            tz = trail(x)
-            out.put(tz, 7)
-            out.put(x >> (tz + 1), max(0, 63 - tz))
+            tz = form.trail(x)
+            out.put(tz, form.width.bit_length())
+            out.put(x >> (tz + 1), max(0, form.width - 1 - tz))
         elif not (d := x ^ self.last):
             out.put(1, 2)
         else:
-            code, tz = _CODE[lead(d)], trail(d)
+            code, tz = code_of(form.rounded, form.lead(d)), form.trail(d)
             if code == self.code and tz >= self.tz:
                 out.put(0, 2)
             else:
                 self.code, self.tz = code, tz
-                size = 64 - ROUNDED[code] - tz
-                if size <= 16:
-                    out.put(2, 2)
-                    out.put(code, 3)
-                    out.put(size & 15, 4)
-                else:
-                    out.put(3, 2)
-                    out.put(code, 3)
-                    out.put(size & 63, 6)
-            out.put(d >> self.tz, 64 - ROUNDED[self.code] - self.tz)
+                few = self._centre() <= 1 << self.short
+                out.put(2 if few else 3, 2)
+                out.put(code, 3)
+                out.put(self._centre(), self.short if few else self.long)
+            out.put(d >> self.tz, self._centre())
         self.last = x
 
     def get(self) -> int:
-        src = self.io
+        src, width = self.io, self.form.width
         if self.last is None:
-            tz = src.get(7)
-            self.last = (src.get(63 - tz) << 1 | 1) << tz if tz < 64 else 0
+            tz = src.get(width.bit_length())
+            self.last = (src.get(width - 1 - tz) << 1 | 1) << tz if tz < width else 0
             return self.last
         flag = src.get(2)
         if flag == 1:
             return self.last
         if flag:
             self.code = src.get(3)
-            size = (src.get(4) or 16) if flag == 2 else (src.get(6) or 64)
-            self.tz = 64 - ROUNDED[self.code] - size
-        self.last ^= src.get(64 - ROUNDED[self.code] - self.tz) << self.tz
+            bits = self.short if flag == 2 else self.long
+            self.tz = width - self.form.rounded[self.code] - (src.get(bits) or 1 << bits)
+        self.last ^= src.get(self._centre()) << self.tz
         return self.last
 
 
 def offices(counts: list[int], most_bits: int = 5) -> list[int]:
-    """Positions to which 64 numbers are rounded down, 0 first: those that cost least in all, counted
+    """Positions to which the numbers below 64 are rounded down, 0 first: those that cost least in all, counted
     in bits: the bits of a position's name for every number, and the bits that rounding loses."""
     used = [k for k, n in enumerate(counts) if n or not k]
     total = sum(counts)
@@ -368,76 +431,38 @@ class ElfStar(Elf):
     """The erasing codec in two passes: the numbers of leading and trailing zeros that occur decide
     to which positions they are rounded, and the tables stand before the values."""
 
-    name = "elf_star"
-
-    def encode(self, values) -> bytes:
-        if np.isnan(values).any():
-            raise ValueError("this codec takes no NaN; filter it first")
-        erased = []
-        for v, x in zip(np.asarray(values, np.float64).tolist(), _bits(values)):
-            kept, digits = x, None
-            if v and math.isfinite(v):
-                places, found = significant(abs(v))
-                erase = 52 - (math.ceil(places * math.log2(10)) + (x >> 52 & 0x7FF) - 1023)
-                mask = _M << erase & _M if 4 < erase <= 52 else _M
-                if mask != _M and x & ~mask & _M and found <= 15 and elf_restore(x & mask, found) == x:
-                    kept, digits = x & mask, found
-            erased.append((kept, digits))
-        leads, trails, last = [0] * 64, [0] * 64, None
-        for kept, _ in erased:
-            if last is not None and (d := kept ^ last):
-                leads[lead(d)] += 1
-                trails[trail(d)] += 1
-            last = kept
-        out, tables = Writer(), (offices(leads), offices(trails))
-        out.put(len(erased), 32)
+    names = "elf_star", "elf_star_f32"
+
+    def _xor(self, io, rows=None):
+        if rows is None:
+            return _StarXor(io, tuple([io.get(6) for _ in range(io.get(6))] for _ in range(2)), self.form)
+        leads, trails = [0] * self.form.width, [0] * self.form.width
+        for (before, _), (kept, _) in zip(rows, rows[1:]):
+            if d := kept ^ before:
+                leads[self.form.lead(d)] += 1
+                trails[self.form.trail(d)] += 1
+        tables = offices(leads), offices(trails)
         for table in tables:
-            out.put(len(table), 6)
+            io.put(len(table), 6)
             for p in table:
-                out.put(p, 6)
-        xor, last_digits = _StarXor(out, tables), None
-        for kept, digits in erased:
-            if digits is None:
-                out.put(2, 2)
-            elif digits == last_digits:
-                out.put(0, 1)
-            else:
-                out.put(0x30 | digits, 6)
-                last_digits = digits
-            xor.put(kept)
-        return out.done()
-
-    def decode(self, data: bytes, n: int | None = None) -> np.ndarray:
-        src, digits, out = Reader(data), None, []
-        n = src.get(32)
-        tables = tuple([src.get(6) for _ in range(src.get(6))] for _ in range(2))
-        xor = _StarXor(src, tables)
-        for _ in range(n):
-            erased = True
-            if src.get(1):
-                if src.get(1):
-                    digits = src.get(4)
-                else:
-                    erased = False
-            x = xor.get()
-            out.append(elf_restore(x, digits) if erased else x)
-        return _floats(out)
+                io.put(p, 6)
+        return _StarXor(io, tables, self.form)
 
 
 class _StarXor:
     """01 for equal, 1 for the window before, 00 and the names of a new window's two positions."""
 
-    def __init__(self, io, tables):
-        self.io, self.tables, self.last, self.window = io, tables, None, None
+    def __init__(self, io, tables, form: Form):
+        self.io, self.tables, self.form, self.last, self.window = io, tables, form, None, None
         self.bits = [(len(t) - 1).bit_length() for t in tables]
 
     def _round(self, which: int, z: int) -> int:
         return max(k for k, p in enumerate(self.tables[which]) if p <= z)
 
     def put(self, x: int) -> None:
-        out = self.io
+        out, lead, trail = self.io, self.form.lead, self.form.trail
         if self.last is None:
-            out.put(x, 64)
+            out.put(x, self.form.width)
         elif not (d := x ^ self.last):
             out.put(1, 2)
         else:
@@ -452,18 +477,18 @@ class _StarXor:
                 out.put(a, self.bits[0])
                 out.put(b, self.bits[1])
             tz = self.tables[1][self.window[1]]
-            out.put(d >> tz, 64 - self.tables[0][self.window[0]] - tz)
+            out.put(d >> tz, self.form.width - self.tables[0][self.window[0]] - tz)
         self.last = x
 
     def get(self) -> int:
         src = self.io
         if self.last is None:
-            self.last = src.get(64)
+            self.last = src.get(self.form.width)
             return self.last
         if not src.get(1):
             if src.get(1):
                 return self.last
             self.window = src.get(self.bits[0]), src.get(self.bits[1])
         tz = self.tables[1][self.window[1]]
-        self.last ^= src.get(64 - self.tables[0][self.window[0]] - tz) << tz
+        self.last ^= src.get(self.form.width - self.tables[0][self.window[0]] - tz) << tz
         return self.last

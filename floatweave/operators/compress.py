@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..codecs import registry
 
 KEY = ("series_id", "block_id")
-NO_NAN = ("gorilla", "chimp128", "elf", "elf_star")  # NaN ends their streams
+NO_NAN = ("gorilla", "chimp128", "chimp128_f32", "elf", "elf_f32", "elf_star", "elf_star_f32")  # NaN ends their streams
 
 
 def blocks(values: DataFrame, size: int) -> DataFrame:

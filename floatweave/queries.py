@@ -336,6 +336,83 @@ def roundtrip_mpc_f32(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.decompress(packing.compress(embedded(spark, sf_dir), "mpc_f32"), "mpc_f32").select("pos", F.col("value").alias("v"))
 
 
+def _round_trip_f32(codec: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        back = packing.decompress(packing.compress(embedded(spark, sf_dir, True), codec), codec)
+        return back.select("pos", F.col("value").alias("v"))
+
+    return run
+
+
+#: Spark's rounding knows no negative zero
+UNSIGNED_F32 = f"SELECT pos, CASE WHEN v = 0 THEN CAST(0 AS FLOAT) ELSE v END AS v FROM ({ROUND_F32})"
+for _codec in ("chimp128_f32", "elf_f32", "elf_star_f32", "alp_f32", "alp_rd_f32", "alp_chosen_f32"):
+    register(f"roundtrip_{_codec}", f"SELECT pos, CAST(v AS DOUBLE) AS v FROM ({UNSIGNED_F32})")(_round_trip_f32(_codec))
+
+
+def bits_sql(base: str, block: int, single: bool = False, end: bool = True) -> str:
+    """Tables ``b`` (block_id, k, x: bits), the NaN that ends a stream included if ``end``."""
+    x = "CAST(CAST(CAST(v AS FLOAT) AS BIT) AS INTEGER)::BIGINT & 4294967295" if single else "CAST(CAST(CAST(v AS DOUBLE) AS BIT) AS BIGINT)"
+    nan = 0x7FC00000 if single else 0x7FF8000000000000
+    last = f" UNION ALL SELECT pos // {block}, max(pos % {block}) + 1, {nan} FROM base GROUP BY 1" if end else ""
+    return f"base AS ({base}), b AS (SELECT pos // {block} AS block_id, pos % {block} AS k, {x} AS x FROM base{last})"
+
+
+#: zeros of an XOR named d that is not 0
+TRAIL = "(length(bin(d)) - length(rtrim(bin(d), '0')))"
+LEAD = "({width} - length(bin(d)))"
+ROUNDED = "CASE " + " ".join(f"WHEN {{z}} >= {r} THEN {r}" for r in (24, 22, 20, 18, 16, 12, 8)) + " ELSE 0 END"
+
+
+def looked_back_sql(low: int) -> str:
+    """Table ``r``: ``b``, with the bits before (``was``) and those of the last value that ends in the same ``low`` bits, or of the first."""
+    return f"""s AS (SELECT *, lag(x) OVER (PARTITION BY block_id ORDER BY k) AS was,
+  coalesce(max(k) OVER (PARTITION BY block_id, x & {(1 << low) - 1} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM b),
+r AS (SELECT s.*, o.x AS other FROM s JOIN b AS o ON o.block_id = s.block_id AND o.k = s.seen)"""
+
+
+def chimp_size_sql(base: str, single: bool = False) -> str:
+    width, low, size_bits = (32, 12, 5) if single else (64, 13, 6)
+    return f"""WITH {bits_sql(base, 1024, single)}, {looked_back_sql(low + 1)},
+t AS (SELECT *, xor(x, other) AS d FROM r),
+m AS (SELECT block_id, k, x, was, d, k > 0 AND k - 1 - seen < 128 AND (d = 0 OR {TRAIL} > {low}) AS met FROM t),
+d AS (SELECT block_id, k, met, CASE WHEN met THEN d ELSE xor(x, was) END AS d FROM m),
+c AS (SELECT *, {ROUNDED.format(z=LEAD.format(width=width))} AS c FROM d),
+h AS (SELECT *, lag(CASE WHEN k > 0 AND d <> 0 AND NOT met THEN c END) OVER (PARTITION BY block_id ORDER BY k) AS held FROM c)
+SELECT block_id, CAST(ceil(sum(CASE WHEN k = 0 THEN {width} WHEN d = 0 THEN 9 WHEN met THEN {12 + size_bits} + {width} - c - {TRAIL} WHEN c = held THEN 2 + {width} - c ELSE 5 + {width} - c END) / 8) AS BIGINT) AS bytes FROM h GROUP BY 1"""
+
+
+def patas_size_sql(base: str) -> str:
+    return f"""WITH {bits_sql(base, 1024, end=False)}, {looked_back_sql(14)},
+d AS (SELECT block_id, k, xor(x, CASE WHEN k - seen < 128 THEN other ELSE was END) AS d FROM r)
+SELECT block_id, CAST(4 + sum(2 + CASE WHEN k = 0 THEN 8 WHEN d = 0 THEN 0 ELSE ceil((64 - {LEAD.format(width=64)} - {TRAIL}) / 8) END) AS BIGINT) AS bytes FROM d GROUP BY 1"""
+
+
+def gorilla_size_sql(base: str, block: int) -> str:
+    """The window of a value depends on all before it: a step for each place of a block, over all blocks at once."""
+    return f"""WITH RECURSIVE {bits_sql(base, block)},
+g AS (SELECT block_id, k, x, CAST(64 AS BIGINT) AS lo, CAST(64 AS BIGINT) AS hi, CAST(64 AS BIGINT) AS bits FROM b WHERE k = 0
+UNION ALL
+SELECT block_id, k, x, CASE WHEN d = 0 OR fits THEN lo ELSE a END, CASE WHEN d = 0 OR fits THEN hi ELSE z END,
+  bits + CASE WHEN d = 0 THEN 1 WHEN fits THEN 66 - lo - hi ELSE 77 - a - z END
+FROM (SELECT *, a >= lo AND z >= hi AS fits FROM (SELECT *, least({LEAD.format(width=64)}, 31) AS a, {TRAIL} AS z
+  FROM (SELECT b.block_id, b.k, b.x, lo, hi, bits, xor(b.x, g.x) AS d FROM g JOIN b ON b.block_id = g.block_id AND b.k = g.k + 1))))
+SELECT block_id, CAST(ceil(max(bits) / 8) AS BIGINT) AS bytes FROM g GROUP BY 1"""
+
+
+def _payload_sizes(codec: str, values: Query, block: int | None = None) -> Query:
+    return lambda spark, d: packing.compress(values(spark, d), codec, block).select("block_id", F.octet_length("payload").cast("long").alias("bytes"))
+
+
+EVENTS: Query = lambda spark, d: load_series(spark, d, "events_value")
+PRICES: Query = lambda spark, d: load_series(spark, d, "o_totalprice")
+COMPONENTS: Query = lambda spark, d: embedded(spark, d, True)
+register("gorilla_size", gorilla_size_sql(base_sql("events_value"), 256))(_payload_sizes("gorilla", EVENTS, 256))
+register("chimp_size", chimp_size_sql(base_sql("events_value")))(_payload_sizes("chimp128", EVENTS))
+register("chimp_size_f32", chimp_size_sql(UNSIGNED_F32, single=True))(_payload_sizes("chimp128_f32", COMPONENTS))
+register("patas_size", patas_size_sql(base_sql("o_totalprice")))(_payload_sizes("patas", PRICES))
+
+
 @register("roundtrip_float32", "SELECT vec_id * 64 + k - 1 AS pos, CAST(embedding[k] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS k)")
 def roundtrip_float32(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = load(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "x"))

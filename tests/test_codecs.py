@@ -7,7 +7,9 @@ from floatweave.codecs import registry
 from floatweave.codecs.grid import GridCodec
 from floatweave.codecs.planes import CHUNK, FORMS, PlaneCodec, decimal_places
 from floatweave.codecs.predict import Fpc, Gfc, Mpc
+from floatweave.codecs.xor import FORMS as XOR_FORMS
 from floatweave.codecs.xor import offices, significant
+from floatweave.operators.compress import NO_NAN
 
 CODECS = registry()
 
@@ -33,7 +35,7 @@ def blocks():
 @pytest.mark.parametrize("block", [b[0] for b in blocks()])
 def test_round_trip(name, block):
     codec, values = CODECS[name], dict(blocks())[block]
-    if name in ("gorilla", "chimp128", "elf", "elf_star"):
+    if name in NO_NAN:
         values = values[~np.isnan(values)]
     if codec.dtype == "f4":
         with np.errstate(over="ignore"):
@@ -87,3 +89,24 @@ def test_significant_digits():
     assert significant(3.17) == (2, 3)
     assert significant(0.001) == (3, 0)
     assert significant(1200.0)[1] == 4
+
+
+def test_significant_digits_of_floats():
+    single = XOR_FORMS["f4"]
+    of = lambda v: significant(float(np.float32(v)), single)
+    assert of(3.17) == (2, 3)
+    assert of(0.001) == (3, 0)
+    assert of(1200.0)[1] == 4
+    assert of(1 / 3)[1] > single.digits
+
+
+@pytest.mark.parametrize("name", ["elf_f32", "elf_star_f32", "alp_f32", "alp_chosen_f32"])
+def test_decimals_of_floats_shrink(name):
+    values = np.round(np.random.default_rng(1).uniform(0, 500, 1000), 2).astype(np.float32)
+    assert len(CODECS[name].encode(values)) < 0.8 * values.nbytes
+
+
+def test_scheme_of_floats():
+    noise = np.random.default_rng(1).normal(size=4096).astype(np.float32)
+    assert CODECS["alp_chosen_f32"].encode(noise)[0] == 1  # in two parts
+    assert CODECS["alp_chosen_f32"].encode(np.round(noise, 1))[0] == 0
