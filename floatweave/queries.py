@@ -327,7 +327,7 @@ for _codec, _name in (("planes", "l_extendedprice"), ("gorilla", "events_value")
     register(f"roundtrip_{_codec}", base_sql(_name, "CAST({c} AS DOUBLE)"))(_round_trip(_codec, _name))
 
 
-for _codec in ("pfpc", "alp_chosen", "alp_local"):
+for _codec in ("pfpc", "spdp", "alp_chosen", "alp_local"):
     register(f"roundtrip_{_codec}", base_sql("events_value", "CAST({c} AS DOUBLE)"))(_round_trip(_codec, "events_value"))
 
 
@@ -346,7 +346,7 @@ def _round_trip_f32(codec: str) -> Query:
 
 #: Spark's rounding knows no negative zero
 UNSIGNED_F32 = f"SELECT pos, CASE WHEN v = 0 THEN CAST(0 AS FLOAT) ELSE v END AS v FROM ({ROUND_F32})"
-for _codec in ("chimp128_f32", "elf_f32", "elf_star_f32", "alp_f32", "alp_rd_f32", "alp_chosen_f32"):
+for _codec in ("chimp128_f32", "elf_f32", "elf_star_f32", "alp_f32", "alp_rd_f32", "alp_chosen_f32", "spdp_f32"):
     register(f"roundtrip_{_codec}", f"SELECT pos, CAST(v AS DOUBLE) AS v FROM ({UNSIGNED_F32})")(_round_trip_f32(_codec))
 
 

@@ -91,6 +91,17 @@ def test_significant_digits():
     assert significant(1200.0)[1] == 4
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 16, 1003])
+def test_byte_transform(n):
+    raw = np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8)
+    less = [int(raw[k]) - (int(raw[k - 2]) if k > 1 else 0) for k in range(n)]
+    dealt = [less[k] for d in range(8) for k in range(d, n, 8)]
+    want = [(x - (dealt[k - 1] if k else 0)) % 256 for k, x in enumerate(dealt)]
+    made = CODECS["spdp"].transform(raw)
+    assert made.tolist() == want
+    assert CODECS["spdp"].invert(made).tolist() == raw.tolist()
+
+
 def test_significant_digits_of_floats():
     single = XOR_FORMS["f4"]
     of = lambda v: significant(float(np.float32(v)), single)

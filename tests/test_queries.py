@@ -9,7 +9,7 @@ from floatweave.queries import load_series, oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
-FAST = ["chunk_sizes_events_value", "plane_sparsity", "chunk_offsets", "decimal_places_histogram", "delta_zigzag", "running_sum_restore", "roundtrip_planes", "roundtrip_raw_planes", "roundtrip_float32", "payload_bytes_match", "stream_split", "xor_histogram", "rle_runs", "rle_restore", "for_bitwidth", "grid_sizes", "alp_best_pairs", "column_profile", "digit_statistics", "exists_packed", "cleaned_columns", "flattened_columns", "significant_figures", "round_trip_verification", "chunk_sizes_f32_raw", "chunk_sizes_f32_rounded", "ablation_f32_sparse", "chunk_offsets_f32", "plane_sparsity_f32", "decimal_places_f32", "payload_bytes_f32", "chunk_sizes_raw", "payload_bytes_raw", "chunk_sizes_per_value_beta", "block_index", "bit_functions", "decimal_functions", "roundtrip_pfpc", "roundtrip_alp_chosen", "roundtrip_alp_local", "roundtrip_mpc_f32", "roundtrip_chimp128_f32", "roundtrip_elf_f32", "roundtrip_elf_star_f32", "roundtrip_alp_f32", "roundtrip_alp_rd_f32", "roundtrip_alp_chosen_f32", "gorilla_size", "chimp_size", "chimp_size_f32", "patas_size"]
+FAST = ["chunk_sizes_events_value", "plane_sparsity", "chunk_offsets", "decimal_places_histogram", "delta_zigzag", "running_sum_restore", "roundtrip_planes", "roundtrip_raw_planes", "roundtrip_float32", "payload_bytes_match", "stream_split", "xor_histogram", "rle_runs", "rle_restore", "for_bitwidth", "grid_sizes", "alp_best_pairs", "column_profile", "digit_statistics", "exists_packed", "cleaned_columns", "flattened_columns", "significant_figures", "round_trip_verification", "chunk_sizes_f32_raw", "chunk_sizes_f32_rounded", "ablation_f32_sparse", "chunk_offsets_f32", "plane_sparsity_f32", "decimal_places_f32", "payload_bytes_f32", "chunk_sizes_raw", "payload_bytes_raw", "chunk_sizes_per_value_beta", "block_index", "bit_functions", "decimal_functions", "roundtrip_pfpc", "roundtrip_alp_chosen", "roundtrip_alp_local", "roundtrip_mpc_f32", "roundtrip_chimp128_f32", "roundtrip_elf_f32", "roundtrip_elf_star_f32", "roundtrip_alp_f32", "roundtrip_alp_rd_f32", "roundtrip_alp_chosen_f32", "roundtrip_spdp", "roundtrip_spdp_f32", "gorilla_size", "chimp_size", "chimp_size_f32", "patas_size"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the standard tables are not here")
 
