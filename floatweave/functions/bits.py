@@ -56,12 +56,13 @@ def bit_width(x: Column) -> Column:
     return F.length(F.bin(x))
 
 
-def leading_zeros(x: Column) -> Column:
-    return F.when(x == 0, 64).otherwise(F.lit(64) - F.length(F.bin(x)))
+def leading_zeros(x: Column, of_zero: int = 64) -> Column:
+    """``of_zero``: the count for zero; its shortest text, one digit, counts 1."""
+    return F.when(x == 0, of_zero).otherwise(F.lit(64) - F.length(F.bin(x)))
 
 
-def trailing_zeros(x: Column) -> Column:
-    return F.when(x == 0, 64).otherwise(F.length(F.bin(x)) - F.length(F.rtrim(F.bin(x), F.lit("0"))))
+def trailing_zeros(x: Column, of_zero: int = 64) -> Column:
+    return F.when(x == 0, of_zero).otherwise(F.length(F.bin(x)) - F.length(F.rtrim(F.bin(x), F.lit("0"))))
 
 
 def rotate_left_1(x: Column) -> Column:
