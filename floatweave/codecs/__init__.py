@@ -15,5 +15,13 @@ def registry() -> dict:
     return {c.name: c for c in made}
 
 
+def find(name: str):
+    """A codec of the registry, or bit planes that drop the signs of zeros: not bit for bit, so by name only."""
+    from .planes import PlaneCodec
+
+    more = {c.name: c for c in (PlaneCodec("f8", signed_zeros=False), PlaneCodec("f4", signed_zeros=False))}
+    return more[name] if name in more else registry()[name]
+
+
 #: Formats of closed libraries: there is nothing to rebuild, and the names say so.
 UNSUPPORTED = ("bitcomp", "bitcomp_sparse", "ans", "gdeflate", "fpzip", "zfp")

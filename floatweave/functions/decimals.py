@@ -52,10 +52,13 @@ def tried_places(v: Column) -> Column:
     return out
 
 
-def checked_places(v: Column, tried: Column) -> Column:
-    """``tried`` where it divides back to ``v``, else NOT_DECIMAL."""
+def checked_places(v: Column, tried: Column, signed_zeros: bool = True) -> Column:
+    """``tried`` where it divides back to ``v``, else NOT_DECIMAL. Without ``signed_zeros`` a
+    negative zero is as good as zero."""
     p = power_of_ten(tried)
-    special = F.isnan(v) | (F.abs(v) == float("inf")) | is_negative_zero(v)
+    special = F.isnan(v) | (F.abs(v) == float("inf"))
+    if signed_zeros:
+        special |= is_negative_zero(v)
     return F.when(special, F.lit(NOT_DECIMAL)).otherwise(F.when(half_away(v * p) / p == v, tried).otherwise(F.lit(NOT_DECIMAL)))
 
 
@@ -104,10 +107,11 @@ def significant_figures(v: Column, figures: int) -> Column:
 
 
 def round_up(v: Column, places: Column) -> Column:
-    """``v`` rounded away from zero to the decimal places (0 to 16)."""
+    """``v`` rounded away from zero to the decimal places (0 to 16); a zero keeps its sign."""
     p = power_of_ten(places)
     t = v * p
-    return F.when(t < 0, F.floor(t)).otherwise(F.ceil(t)).cast("double") / p
+    r = F.rint(t)
+    return F.when(F.abs(r) < F.abs(t), r + F.signum(t)).otherwise(r) / p
 
 
 def fraction_bits(places: Column) -> Column:
@@ -173,9 +177,11 @@ def scaled_32(v: Column, places: Column) -> Column:
     return half_away((v * p).cast("double"))
 
 
-def checked_places_32(v: Column, tried: Column) -> Column:
+def checked_places_32(v: Column, tried: Column, signed_zeros: bool = True) -> Column:
     wide = v.cast("double")
     p = F.element_at(F.array(*(F.lit(float(f"1e{d}")) for d in range(11))), tried + 1)
-    special = F.isnan(v) | (F.abs(wide) == float("inf")) | is_negative_zero(v)
+    special = F.isnan(v) | (F.abs(wide) == float("inf"))
+    if signed_zeros:
+        special |= is_negative_zero(v)
     back = (scaled_32(v, tried) / p).cast("float")  # a double's quotient rounds to the float's own
     return F.when(special | tried.isNull(), F.lit(NOT_DECIMAL_32)).otherwise(F.when(back == v, tried).otherwise(F.lit(NOT_DECIMAL_32)))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..codecs import registry
+from ..codecs import find, registry
 
 KEY = ("series_id", "block_id")
 NO_NAN = ("gorilla", "chimp128", "chimp128_f32", "elf", "elf_f32", "elf_star", "elf_star_f32")  # NaN ends their streams
@@ -28,11 +28,11 @@ def blocks(values: DataFrame, size: int) -> DataFrame:
 
 
 def compress(values: DataFrame, codec: str = "planes", block: int | None = None) -> DataFrame:
-    """The blocks of ``values`` (series_id, pos, value) under a codec of the registry."""
-    size = block or registry()[codec].block
+    """The blocks of ``values`` (series_id, pos, value) under a codec of the registry, or ``planes_unsigned``."""
+    size = block or find(codec).block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = registry()[codec]
+        one = find(codec)
         kind = np.float64 if one.dtype == "f8" else np.float32
         for batch in batches:
             n, lo, hi, made = [], [], [], []
@@ -51,10 +51,10 @@ def compress(values: DataFrame, codec: str = "planes", block: int | None = None)
 
 def decompress(packed: DataFrame, codec: str = "planes", block: int | None = None) -> DataFrame:
     """(series_id, pos, value) of a table of blocks."""
-    size = block or registry()[codec].block
+    size = block or find(codec).block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = registry()[codec]
+        one = find(codec)
         for batch in batches:
             for k in range(batch.num_rows):
                 series, number, n, payload = (batch.column(c)[k].as_py() for c in range(4))

@@ -23,18 +23,19 @@ def chunked(values: DataFrame, size: int = CHUNK) -> DataFrame:
     return values.withColumn("chunk_id", F.floor(F.col("pos") / size)).withColumn("j", (F.col("pos") % size).cast("int"))
 
 
-def quantized(values: DataFrame, alpha_mode: str = "exact", per_value_beta: bool = False, single: bool = False) -> DataFrame:
+def quantized(values: DataFrame, alpha_mode: str = "exact", per_value_beta: bool = False, single: bool = False, signed_zeros: bool = True) -> DataFrame:
     """Add alpha, beta, is_raw of the chunk, and the integer ``q`` of each value.
 
     alpha_mode ``brute`` takes the simple search for decimal places. A chunk whose
     digits don't fit 15 places is raw: ``q`` are then the value's bits, sign last.
     ``single`` is the 32-bit format: float arithmetic, 6 places, 32-bit integers.
+    Without ``signed_zeros`` a negative zero is a decimal, and a chunk's integers drop its sign.
     """
     v = F.col("value").cast("float") if single else F.col("value")
     own = chunked(values).withColumn("sp", decimals.start_position(v.cast("double")))
     tried, checked, limit = (decimals.tried_places_32, decimals.checked_places_32, decimals.MAX_DIGITS_32) if single else (decimals.tried_places, decimals.checked_places, decimals.MAX_DIGITS)
     if alpha_mode == "exact":  # in two steps, so that the search is evaluated once
-        own = own.withColumn("tried", tried(v)).withColumn("a", checked(v, F.col("tried"))).drop("tried")
+        own = own.withColumn("tried", tried(v)).withColumn("a", checked(v, F.col("tried"), signed_zeros)).drop("tried")
     else:
         own = own.withColumn("a", decimals.brute_decimal_places(v))
     w = Window.partitionBy(*KEY)
