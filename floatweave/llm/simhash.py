@@ -493,19 +493,23 @@ def _edges_between(links: DataFrame, groups: DataFrame, parts: DataFrame, sets:
 
     A tree that lost an edge to the verification may have other pairs within the limit between
     the pieces. Of each such cluster the members that have one are gathered with their sets;
-    those of over ``tile`` members are dealt into tiles, and every two tiles meet."""
+    those of over ``tile`` members are dealt into tiles, and every two tiles meet. A member is of
+    as many clusters as its keys, so prints and sets are joined to it once, with the list of them."""
     ends = links.filter("cluster is not null")
     for c in ("a", "b"):
         ends = ends.join(parts.select(F.col("uid").alias(c), F.col("component").alias(f"{c}_part")), c, "left")
     cut = stash(ends.filter("coalesce(a_part, a) <> coalesce(b_part, b)").select("cluster").distinct(), "wide-cut")
     members = stash(links.join(cut, "cluster").select("cluster", F.explode(F.array("a", "b")).alias("uid")).distinct(), "wide-members")
     tiles = members.groupBy("cluster").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    dealt = members.join(tiles, "cluster").join(groups.select("uid", "f0", "f1"), "uid").join(parts, "uid", "left")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "uid", F.coalesce("component", "uid").alias("part"), "f0", "f1")
+    own = F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda other: F.xxhash64("cluster", F.least(own, other), F.greatest(own, other)))
+    keyed = members.join(tiles, "cluster").groupBy("uid").agg(F.flatten(F.collect_list(meets)).alias("keys"))
+    dealt = keyed.join(groups.select("uid", "f0", "f1"), "uid").join(parts, "uid", "left")
+    dealt = dealt.select(F.explode("keys").alias("key"), "uid", F.coalesce("component", "uid").alias("part"), "f0", "f1")
     schema = "key long, uid long, part long, f0 long, f1 long"
     near = stash(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_apart(WIDE_LIMIT), schema), "wide-apart")
-    return near.join(sets, "uid").select("key", "uid", "part", "f0", "f1", "hashes").repartition("key").sortWithinPartitions("key").mapInArrow(_joined(WIDE_LIMIT, similarity), "a long, b long")
+    asked = near.groupBy("uid", "part", "f0", "f1").agg(F.collect_list("key").alias("keys"))
+    return asked.join(sets, "uid").select(F.explode("keys").alias("key"), "uid", "part", "f0", "f1", "hashes").repartition("key").sortWithinPartitions("key").mapInArrow(_joined(WIDE_LIMIT, similarity), "a long, b long")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tile: int = 8192) -> DataFrame:
