@@ -157,29 +157,36 @@ class ByteLevelEncoder:
     def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each) of chunks behind one space: the library's model merges each
         distinct pre-token of theirs once."""
-        pieces: dict[str, int] = {}
-        code, n, whole = [], [], []
+        pieces: dict[str, int] = {}  # as the vocabulary shows them; behind \0 what the library takes as it stands
+        place, shown = pieces.setdefault, self.shown
+        code, n = [], []
         for c in chunks:
-            if len(c) > LONG or UNSAFE.search(c):
-                own = ["\0" + c]  # the library takes it as it stands
-            elif c.isalpha():
-                own = [" " + c]
-            elif c[:-1].isalpha() and c[-1] in ".,;:!?":
-                own = [" " + c[:-1], c[-1]]
+            if len(c) > LONG:
+                own = ["\0" + c]
+            elif c.isascii() and c.isprintable():  # shown as it is, but for the space before it
+                if c.isalpha():
+                    code.append(place("Ġ" + c, len(pieces)))
+                    n.append(1)
+                    continue
+                if (rest := c[:-1]).isalpha() and c[-1] in ".,;:!?":
+                    own = ["Ġ" + rest, c[-1]]
+                else:
+                    own = BYTE_LEVEL.findall(" " + c)
+                    own[0] = "Ġ" + own[0][1:]
+            elif UNSAFE.search(c):
+                own = ["\0" + c]
             else:
-                own = BYTE_LEVEL.findall(" " + c)
-            code += [pieces.setdefault(p, len(pieces)) for p in own]
+                own = [p.encode().decode("latin-1").translate(shown) for p in BYTE_LEVEL.findall(" " + c)]
+            for p in own:
+                code.append(place(p, len(pieces)))
             n.append(len(own))
-        tokenize, shown = self.tok.model.tokenize, self.shown
+        tokenize = self.model.tokenize
+        ids, size = [], []
         for p in pieces:
-            if p[0] == "\0" and len(p) > 1:
-                whole.append(self._library([" " + p[1:]])[0])
-            elif p[0] == " " and p.isascii() and (rest := p[1:]).isprintable() and " " not in rest:
-                whole.append([t.id for t in tokenize("Ġ" + rest)])
-            else:
-                whole.append([t.id for t in tokenize(p.encode().decode("latin-1").translate(shown))])
-        size = np.fromiter(map(len, whole), np.int64, len(whole))
-        flat = np.fromiter((i for ids in whole for i in ids), self.dtype, int(size.sum()))
+            before = len(ids)
+            ids += [t.id for t in tokenize(p)] if p[0] != "\0" else self._library([" " + p[1:]])[0].tolist()
+            size.append(len(ids) - before)
+        size, flat = np.array(size, np.int64), np.array(ids, self.dtype)
         return _gather(flat, np.cumsum(size) - size, size, np.array(code, np.int64)), np.add.reduceat(size[code], np.cumsum(n) - n)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +194,10 @@ class ByteLevelEncoder:
         if not texts:
             return np.empty(0, self.dtype), np.empty(0, np.int64)
         self.model = self.tok.model
-        hard = [i for i, t in enumerate(texts) if space_run(t) or any(s in t for s in self.special)]
+        every = "\0".join(texts)
+        special = [s for s in self.special if s in every]
+        odd = "  " in every or any(c in every for c in _WIDE)
+        hard = [i for i, t in enumerate(texts) if space_run(t) or any(s in t for s in special)] if odd or special else []
         easy = texts
         if hard:
             easy = list(texts)
@@ -196,9 +206,12 @@ class ByteLevelEncoder:
         cut = pc.split_pattern(pa.array(easy, pa.large_string()), " ")
         start = cut.offsets.to_numpy()
         chunks = cut.values.dictionary_encode()
-        code = chunks.indices.to_numpy().copy()
-        words = chunks.dictionary
-        h = self.hash(words)
+        h = self.hash(chunks.dictionary)
+        order = np.argsort(h)  # neighbours are found fast
+        h, words = h[order], chunks.dictionary.take(pa.array(order))
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        code = rank[chunks.indices.to_numpy()]
         new = np.flatnonzero(self.table.find(h) < 0)
         # a text's first chunk has no space before it; whole texts of the library come last
         heads = cut.values.take(pa.array(start[:-1])).dictionary_encode()
