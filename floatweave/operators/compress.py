@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..codecs import find, registry
+from ..sources.series import dealt
 
 KEY = ("series_id", "block_id")
 NO_NAN = ("gorilla", "chimp128", "chimp128_f32", "elf", "elf_f32", "elf_star", "elf_star_f32")  # NaN ends their streams
@@ -22,7 +23,7 @@ NO_NAN = ("gorilla", "chimp128", "chimp128_f32", "elf", "elf_f32", "elf_star", "
 
 def blocks(values: DataFrame, size: int) -> DataFrame:
     """(series_id, block_id, values): arrays in the order of ``pos``."""
-    own = values.withColumn("block_id", F.floor(F.col("pos") / size))
+    own = dealt(values.withColumn("block_id", F.floor(F.col("pos") / size)), *KEY)
     rows = own.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("rows"))
     return rows.select(*KEY, F.transform("rows", lambda r: r["value"]).alias("values"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, decimals
+from ..sources.series import dealt
 
 MAX_E, SAMPLES, VECTOR, GROUP, STEP = 18, 32, 1024, 100, 12  # fixed values of the decimal scaling
 
@@ -20,7 +21,7 @@ def in_blocks(values: DataFrame, size: int) -> DataFrame:
 
 def runs(values: DataFrame, block: int = 4096) -> DataFrame:
     """(series_id, block_id, run, start, value, length) of the runs within blocks."""
-    own = in_blocks(values, block)
+    own = dealt(in_blocks(values, block), "series_id", "block_id")
     w = _order(("block_id",))
     new = F.coalesce((F.col("value") != F.lag("value").over(w)).cast("long"), F.lit(1).cast("long"))
     own = own.withColumn("new", new).withColumn("run", F.sum("new").over(w) - 1)
@@ -34,7 +35,7 @@ def expand_runs(found: DataFrame) -> DataFrame:
 
 def differences(integers: DataFrame, block: int = 1025) -> DataFrame:
     """(series_id, block_id, pos, first, zz): the first value of each block, zigzag differences after it."""
-    own = in_blocks(integers, block)
+    own = dealt(in_blocks(integers, block), "series_id", "block_id")
     w = _order(("block_id",))
     return own.withColumn("before", F.lag("q").over(w)).select(
         "series_id", "block_id", "pos", F.when(F.col("before").isNull(), F.col("q")).alias("first"), bits.zigzag(F.col("q") - F.col("before")).alias("zz")
@@ -58,6 +59,7 @@ def grid_sizes(values: DataFrame, cube: int = 4096) -> DataFrame:
     """(series_id, cube_id, bytes) of the block-transform codec in one dimension: a word for each
     64 values, and a word for each bit set in their OR. Values beyond whole cubes are left out."""
     own = values.withColumn("cube_id", F.floor(F.col("pos") / cube)).withColumn("x", bits.rotate_left_1(bits.double_bits(F.col("value"))))
+    own = dealt(own, "series_id", "cube_id")
     w = Window.partitionBy("series_id", "cube_id").orderBy("pos")
     own = own.withColumn("before", F.lag("x").over(w))
     step = F.when(F.col("before").isNull(), F.col("x")).otherwise(bits.wrapping_subtract(F.col("x"), F.col("before")))

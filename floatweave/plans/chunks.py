@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, decimals
+from ..sources.series import dealt
 
 # fixed values of the format
 CHUNK = 1025
@@ -32,7 +33,7 @@ def quantized(values: DataFrame, alpha_mode: str = "exact", per_value_beta: bool
     Without ``signed_zeros`` a negative zero is a decimal, and a chunk's integers drop its sign.
     """
     v = F.col("value").cast("float") if single else F.col("value")
-    own = chunked(values).withColumn("sp", decimals.start_position(v.cast("double")))
+    own = dealt(chunked(values), *KEY).withColumn("sp", decimals.start_position(v.cast("double")))
     tried, checked, limit = (decimals.tried_places_32, decimals.checked_places_32, decimals.MAX_DIGITS_32) if single else (decimals.tried_places, decimals.checked_places, decimals.MAX_DIGITS)
     if alpha_mode == "exact":  # in two steps, so that the search is evaluated once
         own = own.withColumn("tried", tried(v)).withColumn("a", checked(v, F.col("tried"), signed_zeros)).drop("tried")

@@ -20,6 +20,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+TASK_ROWS = 1 << 19  # what a task sorts or gathers at most, but for a larger block
+
+
+def tasks_of(df: DataFrame) -> int | None:
+    """A number of tasks that grows with the rows of ``df``, as a session's own does not; None for
+    a single task's rows, which need none, and for streams, whose rows are not known."""
+    if df.isStreaming or (rows := df.count()) <= TASK_ROWS:
+        return None
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(-(-rows // TASK_ROWS), min(own, -(-8 * rows // TASK_ROWS)))
+
+
+def dealt(df: DataFrame, *key: str) -> DataFrame:
+    """``df`` by ``key``, in as many tasks as its rows need: windows and groups by ``key`` take no other
+    exchange. Those drop a constant from their keys, so it is none here."""
+
+    def constant(c: str) -> bool:
+        made = df.select(c)._jdf.queryExecution().optimizedPlan().expressions()
+        return made.size() == 1 and made.head().children().size() == 1 and made.head().children().head().foldable()
+
+    n = tasks_of(df)
+    return df if n is None else df.repartition(n, *(c for c in key if not constant(c)))
+
+
 def with_positions(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     """Number the rows from 0 in the order of ``order``, without a one-task window.
 
@@ -28,7 +52,8 @@ def with_positions(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, "ordered")
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    n = tasks_of(df)
+    ranged = (df.repartitionByRange(*order) if n is None else df.repartitionByRange(n, *order)).sortWithinPartitions(*order)
     ranged.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).write.parquet(path)
     held = spark.read.parquet(path)
     before, base = 0, []

@@ -69,3 +69,13 @@ def test_sizes_without_signs_of_zeros(spark, single):
     less, full = find(name + "_unsigned"), registry()[name]
     assert np.array_equal(less.decode(less.encode(v[:1025]), 1025), v[:1025]) and len(less.encode(v[:1025])) < len(full.encode(v[:1025]))
     assert np.array_equal(np.signbit(full.decode(full.encode(v), len(v))), np.signbit(v)) and name + "_unsigned" not in registry()
+
+
+@pytest.mark.parametrize("name", ["rle_runs", "rle_restore", "cascaded_run_frames", "chunk_sizes_l_discount", "roundtrip_cascaded", "roundtrip_gzip"])
+def test_tasks_grow_with_rows(spark, odd, name, monkeypatch):
+    """2,500 rows at 250 a task: more tasks than the session's four, and the same rows."""
+    from floatweave.sources import series
+
+    monkeypatch.setattr(series, "TASK_ROWS", 250)
+    assert queries()[name](spark, odd[0]).rdd.getNumPartitions() >= 10
+    same(spark, odd, name)
